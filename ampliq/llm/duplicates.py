@@ -141,3 +141,9 @@ def duplicate_entries(df: DataFrame, key: str = "entry_id", text: str = "sequenc
 def collapse(df: DataFrame, key: str = "entry_id", text: str = "sequence") -> DataFrame:
     """One record per repeated nucleotide string: sequence_md5, entry_id (the smallest), copies."""
     return duplicate_entries(df, key, text).groupBy("sequence_md5").agg(F.min("entry_id").alias("entry_id"), F.count(F.lit(1)).alias("copies"))
+
+
+def true_flags(df: DataFrame, key: str = "entry_id", text: str = "sequence") -> DataFrame:
+    """(entry_id, has_duplicates) of every row of df: whether another row has the same nucleotides. Ids are unique."""
+    found = duplicate_entries(df, key, text).select("entry_id", F.lit(True).alias("found")).dropDuplicates(["entry_id"])
+    return df.select(F.col(key).alias("entry_id")).join(found, "entry_id", "left").select("entry_id", F.coalesce("found", F.lit(False)).alias("has_duplicates"))

@@ -306,3 +306,20 @@ def similar_pairs(df: DataFrame, key: str = "entry_id", text: str = "sequence",
         pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb")
         .mapInArrow(_verify(exact.numerator, exact.denominator), "entry_a bigint, entry_b bigint, similarity double")
     )
+
+
+def similar_groups(df: DataFrame, key: str = "entry_id", text: str = "sequence", **options) -> DataFrame:
+    """(entry_id, group_id): every row with nucleotides and the smallest id among those it is linked to, over any chain of links."""
+    from ampliq.llm.duplicates import duplicate_entries
+    from ampliq.operators.components import connected_components
+
+    links = table(similar_pairs(df, key, text, **options).select("entry_a", "entry_b"), "links")
+    of = connected_components(links, "entry_a", "entry_b").select(F.col("node").alias("rep"), F.col("component").alias("group_id"))
+    copies = table(duplicate_entries(df, key, text), "copies")
+    reps = copies.groupBy("sequence_md5").agg(F.min("entry_id").alias("rep"))
+    rep_of = copies.join(reps, "sequence_md5").select("entry_id", "rep")
+    with_letters = df.select(F.col(key).cast("bigint").alias("entry_id")).filter(F.col(text).rlike("[A-Za-z]"))
+    return (
+        with_letters.join(rep_of, "entry_id", "left").withColumn("rep", F.coalesce("rep", "entry_id"))
+        .join(of, "rep", "left").select("entry_id", F.coalesce("group_id", "rep").alias("group_id"))
+    )
