@@ -1,16 +1,51 @@
-"""Registered queries of the core, and their SQL."""
+"""Registered queries of the core, and their SQL. All run over whole tables.
+
+Amplicons come from db: entries of one nucleotide string make one amplicon with the sum of their abundances (1 where
+there is none), labelled by the string's MD5.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ampliq.functions.headers import annotate
+from ampliq.operators import clustering, contingency, graph, neighbours
+from ampliq.operators.amplicons import summary
+from ampliq.plans.run import Run, run
+from ampliq.plans.scratch import shared_dir, table
 from ampliq.sources import rejects
+from ampliq.sources.fasta import read_fasta
+from ampliq.streaming.dereplicate import dereplicate_folder
+
+SAMPLES = [f"S{k:02d}" for k in range(1, 49)]
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _letters(df: DataFrame) -> DataFrame:
+    clean = F.replace(F.regexp_replace(F.upper("sequence"), "[^A-Z]+", ""), F.lit("U"), F.lit("T"))
+    return df.withColumn("n", clean).filter("n <> ''")
+
+
+def raw_entries_of_db(spark: SparkSession, d: str) -> DataFrame:
+    """(header, sequence), one row an entry, copies included."""
+    one = F.concat(F.lit("e"), F.col("entry_id").cast("string"), F.lit("_"), F.coalesce("abundance", F.lit(1)).cast("string"))
+    return _letters(_t(spark, d, "db")).select(one.alias("header"), F.col("n").alias("sequence"))
+
+
+def entries_of_db(spark: SparkSession, d: str) -> DataFrame:
+    """(header, sequence), one row a distinct sequence."""
+    same = _letters(_t(spark, d, "db")).groupBy("n").agg(F.sum(F.coalesce("abundance", F.lit(1))).alias("a"))
+    return same.select(F.concat(F.lit("a"), F.substring(F.md5("n"), 1, 16), F.lit("_"), F.col("a").cast("string")).alias("header"), F.col("n").alias("sequence"))
+
+
+def _run(spark: SparkSession, folder: str, **options) -> Run:
+    return run(entries_of_db(spark, folder), **options)
+
+
 def p4_found(spark, d):
     return rejects.rejects(_t(spark, d, "raw_entries"))
 
@@ -19,8 +54,226 @@ def p4_rows(spark, d):
     return rejects.valid_entries(_t(spark, d, "raw_entries"))
 
 
+def fasta_scan(spark, d):
+    """db written as FASTA text with lower-case, wrapped sequences, then read."""
+    rows = raw_entries_of_db(spark, d)
+    text = F.concat(F.lit(">"), "header", F.lit(" note\n"), F.regexp_replace(F.lower("sequence"), "(.{60})", "$1\r\n"))
+    path = f"{table(rows.select(text.alias('value')), 'text').inputFiles()[0].rsplit('/', 1)[0]}-fasta"
+    rows.select(text.alias("value")).write.mode("overwrite").text(path)
+    return read_fasta(spark, path).select("header", "sequence")
+
+
+def _annotated(spark, d, usearch):
+    return annotate(_t(spark, d, "db").select("entry_id", "header"), usearch).select("entry_id", "found", "number", "id", "label")
+
+
+def abundance_plain(spark, d):
+    return _annotated(spark, d, False)
+
+
+def abundance_usearch(spark, d):
+    return _annotated(spark, d, True)
+
+
+def db_summary(spark, d):
+    return summary(_run(spark, d, d=0).amplicons)
+
+
+def amplicon_order(spark, d):
+    return _run(spark, d).amplicons.select("ord", "header", "label", "abundance", "seqlen")
+
+
+def dereplicate_stats(spark, d):
+    return run(raw_entries_of_db(spark, d), d=0).statistics()
+
+
+def dereplicate_lists(spark, d):
+    return run(raw_entries_of_db(spark, d), d=0).member_lists().select("cluster", "members")
+
+
+def dereplicate_structure(spark, d):
+    return run(raw_entries_of_db(spark, d), d=0).structure().select("parent", "child", "diffs", "cluster", "steps")
+
+
+def dereplicate_seeds(spark, d):
+    return run(raw_entries_of_db(spark, d), d=0).seeds()
+
+
+def dereplicate_hits(spark, d):
+    return _cells(run(raw_entries_of_db(spark, d), d=0))
+
+
+def _cells(r: Run) -> DataFrame:
+    return r.hits().select(*[f"c{i}" for i in range(1, 11)])
+
+
+def microvariant_counts(spark, d):
+    amps = _run(spark, d).amplicons
+    return neighbours.microvariants(amps).join(amps.select("ord", "label"), "ord").groupBy("label").agg(
+        *[F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(k) for k in ("substitution", "deletion", "insertion")], F.count_distinct("variant").alias("variants")
+    )
+
+
+def network_d1(spark, d):
+    return _run(spark, d).network().select("source", "target")
+
+
+def network_d1_nobreak(spark, d):
+    return _run(spark, d, breaking=False).network().select("source", "target")
+
+
+def _members(r: Run) -> DataFrame:
+    return r.members.select("ord", "swarm", "generation", "parent")
+
+
+def clusters_d1(spark, d):
+    return _members(_run(spark, d))
+
+
+def clusters_d1_nobreak(spark, d):
+    return _members(_run(spark, d, breaking=False))
+
+
+def stats_d1(spark, d):
+    return _run(spark, d).statistics()
+
+
+def member_list_d1(spark, d):
+    return _run(spark, d).member_lists().select("cluster", "members")
+
+
+def mothur_d1(spark, d):
+    """The head and the pieces of the one line, by position."""
+    from ampliq.sinks.text import mothur_lines
+
+    return mothur_lines(_run(spark, d))[0].select(F.col("cluster").alias("piece"), "value")
+
+
+def structure_d1(spark, d):
+    return _run(spark, d).structure().select("parent", "child", "diffs", "cluster", "steps")
+
+
+def seeds_d1(spark, d):
+    return _run(spark, d).seeds()
+
+
+def uclust_d1(spark, d):
+    return _cells(_run(spark, d))
+
+
+def totals_d1(spark, d):
+    return clustering.totals(_run(spark, d).clusters)
+
+
+def light_heavy_counts(spark, d):
+    return clustering.weights(_run(spark, d).first_clusters, 3)
+
+
+def graft_candidates(spark, d):
+    return _run(spark, d, fastidious=True).graft_candidates
+
+
+def grafts(spark, d):
+    return _run(spark, d, fastidious=True).grafts
+
+
+def stats_fastidious(spark, d):
+    return _run(spark, d, fastidious=True).statistics()
+
+
+def structure_fastidious(spark, d):
+    return _run(spark, d, fastidious=True).structure().select("parent", "child", "diffs", "cluster", "steps")
+
+
+def member_list_fastidious(spark, d):
+    return _run(spark, d, fastidious=True).member_lists().select("cluster", "members")
+
+
+def log_fastidious(spark, d):
+    return _run(spark, d, fastidious=True).log()
+
+
+def qgram_bounds(spark, d):
+    """The lower bound of the differences of every linked pair."""
+    r = _run(spark, d)
+    words = table(r.amplicons.select("ord", neighbours.qgrams(F.col("sequence")).alias("q")), "qgrams")
+    return (
+        r.links.join(words.select(F.col("ord").alias("src"), F.col("q").alias("qa")), "src").join(words.select(F.col("ord").alias("dst"), F.col("q").alias("qb")), "dst")
+        .select("src", "dst", neighbours.qgram_bound(F.col("qa"), F.col("qb")).alias("bound"))
+    )
+
+
+def edges_d2(spark, d):
+    return _run(spark, d, d=2).links.select("src", "dst")
+
+
+def clusters_d2(spark, d):
+    return _members(_run(spark, d, d=2))
+
+
+def stats_d2(spark, d):
+    return _run(spark, d, d=2).statistics()
+
+
+def structure_d2(spark, d):
+    return _run(spark, d, d=2).structure().select("parent", "child", "diffs", "cluster", "steps")
+
+
+def uclust_d2(spark, d):
+    return _cells(_run(spark, d, d=2))
+
+
+def stats_d3(spark, d):
+    return _run(spark, d, d=3, mismatch=3).statistics()
+
+
+def _observed(spark, d):
+    """Observations once each: rows delivered again keep their row_id."""
+    return _t(spark, d, "amplicon_contingency_table").select("row_id", "amplicon", "sample", "abundance").distinct()
+
+
+def contingency_long(spark, d):
+    return contingency.long_table(_observed(spark, d))
+
+
+def contingency_pivot(spark, d):
+    known = _observed(spark, d).filter(F.col("sample").isin(SAMPLES))
+    return contingency.contingency(known, SAMPLES)
+
+
+def repeated_samples(spark, d):
+    return contingency.repeated_samples(_t(spark, d, "fasta_files"))
+
+
+def _cluster_graph(spark, d):
+    weight = _observed(spark, d).filter("amplicon is not null").groupBy("amplicon").agg(F.sum(F.coalesce("abundance", F.lit(0))).alias("abundance"))
+    return graph.nodes_and_edges(weight, _t(spark, d, "cluster_structure"), 1, 2)
+
+
+def graph_nodes(spark, d):
+    nodes = _cluster_graph(spark, d)[0]
+    return nodes.select("amplicon", "abundance", F.round("red", 6).alias("red"), F.round("size", 6).alias("size"), "label")
+
+
+def graph_edges(spark, d):
+    return _cluster_graph(spark, d)[1]
+
+
+def stream_dereplicate(spark, d):
+    schema = "sequence string, abundance bigint"
+    prepare = lambda s: _letters(s).select(F.col("n").alias("sequence"), "abundance")
+    folder = table(_t(spark, d, "db").select("sequence", "abundance").repartition(4), "arrivals").inputFiles()[0].rsplit("/", 1)[0]
+    return dereplicate_folder(spark, folder, schema, prepare, 2).select(F.md5("sequence").alias("sequence_md5"), "size", "mass")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_rows)}
+    every = (
+        p4_found, p4_rows, fasta_scan, abundance_plain, abundance_usearch, db_summary, amplicon_order, dereplicate_stats, dereplicate_lists, dereplicate_structure, dereplicate_seeds,
+        dereplicate_hits, microvariant_counts, network_d1, network_d1_nobreak, clusters_d1, clusters_d1_nobreak, stats_d1, member_list_d1, mothur_d1, structure_d1, seeds_d1, uclust_d1,
+        totals_d1, light_heavy_counts, graft_candidates, grafts, stats_fastidious, structure_fastidious, member_list_fastidious, log_fastidious, qgram_bounds, edges_d2, clusters_d2,
+        stats_d2, structure_d2, uclust_d2, stats_d3, contingency_long, contingency_pivot, repeated_samples, graph_nodes, graph_edges, stream_dereplicate,
+    )
+    return {f.__name__: f for f in every}
 
 
 _FIELD = """(?:"(?:[^"]|"")*"|[^",]*)"""
@@ -40,10 +293,128 @@ r as (select *, case when not sound then 'quoting' when len(f) <> 5 then 'column
  when f[3] not in ('0', '1') or (f[3] = '1') = (note is not null) then 'missingabundance'
  when not regexp_full_match(bare, '[ACGTUacgtu]+') then 'sequence' end as reason from b)"""
 
+_NUC = "replace(regexp_replace(upper(sequence), '[^A-Z]', '', 'g'), 'U', 'T')"
+_RAW = f"""n0 as (select entry_id, coalesce(abundance, 1) as abundance, {_NUC} as s from db),
+raw as (select 'e' || entry_id || '_' || abundance as header, 'e' || entry_id as label, abundance, s from n0 where s <> ''),
+ro as (select *, row_number() over (order by abundance desc, header) - 1 as ord from raw)"""
+_D0 = f"""{_RAW}, g as (select s, min(ord) as swarm, count(*) as size, cast(sum(abundance) as bigint) as mass, cast(sum(case when abundance = 1 then 1 else 0 end) as bigint) as singletons from ro group by s),
+c0 as (select *, row_number() over (order by mass desc, swarm) as cluster from g)"""
+_AMPS = f"""n0 as (select coalesce(abundance, 1) as abundance, {_NUC} as s from db),
+n1 as (select s, cast(sum(abundance) as bigint) as abundance, 'a' || substr(md5(s), 1, 16) as label from n0 where s <> '' group by s),
+amps as (select *, label || '_' || abundance as header, length(s) as len, row_number() over (order by abundance desc, label || '_' || abundance) - 1 as ord from n1)"""
+_D1 = f"""{_AMPS}, dk as (select ord, s as k from amps union select ord, substr(s, 1, i - 1) || substr(s, i + 1) from (select ord, s, unnest(range(1, len + 1))::int as i from amps)),
+cand as (select distinct x.ord as a, y.ord as b from dk x join dk y on x.k = y.k and x.ord < y.ord),
+pairs as (select a, b, 1 as diff from cand join amps x on x.ord = a join amps y on y.ord = b where levenshtein(x.s, y.s) = 1)"""
+# pairs at most two edits apart, and of them those whose optimal affine alignment has at most two differences
+_D2 = f"""{_AMPS}, near as (select x.ord as a, y.ord as b, levenshtein(x.s, y.s) as lev, x.s as xs, y.s as ys from amps x join amps y on x.ord < y.ord and abs(x.len - y.len) <= 2 where levenshtein(x.s, y.s) <= 2),
+sl as (select a, b, lev, case when length(xs) <= length(ys) then xs else ys end as p, case when length(xs) <= length(ys) then ys else xs end as q from near),
+m as (select a, b, lev, length(q) - length(p) as dl, case when length(p) = length(q) then hamming(p, q) end as h,
+ case when length(q) = length(p) + 2 then list_min(list_transform(range(0, length(p) + 1), lambda i: hamming(p, substr(q, 1, i::int) || substr(q, i::int + 3)))) end as g from sl),
+pairs as (select a, b, lev as diff from m where (dl = 0 and (h <= 2 or h >= 5)) or dl = 1 or (dl = 2 and g <> 1))"""
+
+
+def _walk(pairs: str, breaking: bool = True) -> str:
+    rule = "where s.abundance >= t.abundance" if breaking else ""
+    return f"""{pairs}, two as (select a as src, b as dst, diff from pairs union all select b, a, diff from pairs),
+links as (select src, dst, diff from two join amps s on s.ord = src join amps t on t.ord = dst {rule}),
+reach as (select ord as root, ord as node from amps union select root, dst from reach join links on src = node),
+lab as (select node as ord, min(root) as swarm from reach group by node),
+inner_ as (select src, dst, diff from links join lab p on p.ord = src join lab c on c.ord = dst and c.swarm = p.swarm),
+steps as (select ord, 0 as generation from lab where ord = swarm union select dst, generation + 1 from steps join inner_ on src = steps.ord where generation < 200),
+gen as (select ord, min(generation) as generation from steps group by ord),
+tree as (select l.ord, l.swarm, g.generation, (select min(e.src) from inner_ e join gen q on q.ord = e.src where e.dst = l.ord and q.generation = g.generation - 1) as parent from lab l join gen g on g.ord = l.ord),
+cl as (select swarm, count(*) as size, cast(sum(abundance) as bigint) as mass, cast(sum(len) as bigint) as sumlen, cast(sum(case when abundance = 1 then 1 else 0 end) as bigint) as singletons, max(generation) as maxgen from tree join amps using (ord) group by swarm)"""
+
+
+_W1 = _walk(_D1)
+_WN = _walk(_D1, False)
+_W2 = f"""{_walk(_D2)}, rad as (select ord, 0 as radius from tree where parent is null union all select t.ord, r.radius + e.diff from tree t join rad r on r.ord = t.parent join links e on e.src = t.parent and e.dst = t.ord)"""
+_F1 = f"""{_W1}, hv as (select a.ord, a.s, a.len from tree t join cl using (swarm) join amps a on a.ord = t.ord where mass >= 3), lt as (select a.ord, a.s, a.len from tree t join cl using (swarm) join amps a on a.ord = t.ord where mass < 3),
+gc as (select l.ord as child, min(h.ord) as parent from lt l join hv h on abs(h.len - l.len) <= 2 where levenshtein(h.s, l.s) <= 2 group by l.ord),
+gr as (select light, child, x.parent, t.swarm as heavy from (select swarm as light, child, gc.parent, row_number() over (partition by swarm order by gc.parent, child) as k from gc join tree on tree.ord = child) x join tree t on t.ord = x.parent where k = 1),
+fin as (select t.ord, coalesce(gr.heavy, t.swarm) as swarm, t.generation, t.parent, gr.parent as gp, gr.child as gch from tree t left join gr on gr.light = t.swarm),
+fc as (select h.swarm, h.size + coalesce(x.size, 0) as size, h.mass + coalesce(x.mass, 0) as mass, h.singletons + coalesce(x.singletons, 0) as singletons, h.maxgen from cl h
+ left join (select heavy, sum(size) as size, sum(mass) as mass, sum(singletons) as singletons from gr join cl on cl.swarm = light group by heavy) x on x.heavy = h.swarm where h.swarm not in (select light from gr)),
+fn as (select *, row_number() over (order by swarm) as cluster from fc)"""
+
+
+def _stats(walk: str, maxgen: str = "maxgen", radius: str = "maxgen", table_: str = "cl") -> str:
+    return f"""with recursive {walk} select row_number() over (order by swarm) as cluster, cast(c.size as bigint) as size, cast(mass as bigint) as mass, label as seed, abundance as seed_abundance,
+cast(singletons as bigint) as singletons, cast({maxgen} as int) as maxgen, cast({radius} as int) as maxradius from {table_} c join amps on ord = c.swarm"""
+
+
+_NUMBERED = "num as (select swarm, row_number() over (order by swarm) as cluster from cl)"
+_OBS = "o as (select distinct row_id, amplicon, sample, abundance from amplicon_contingency_table)"
+
+
+def _annotation_sql(usearch: bool) -> str:
+    if not usearch:
+        return """select entry_id, f as found, case when f then regexp_extract(header, '_([0-9]*)$', 1) end as number, i as id, i as label
+from (select *, case when f then regexp_replace(header, '_[0-9]{0,20}$', '') else header end as i from (select *, regexp_matches(header, '_[0-9]{0,20}$') as f from db))"""
+    mark = "(^|;)size=([0-9]+)(;|$)"
+    return f"""select entry_id, f as found, case when f then regexp_extract(header, '{mark}', 2) end as number, case when p <> '' then p else q end as id, p || case when p <> '' and q <> '' then ';' else '' end || q as label
+from (select *, case when f then split_part(header, m, 1) else header end as p, case when f then substr(header, length(split_part(header, m, 1)) + length(m) + 1) else '' end as q
+from (select *, regexp_matches(header, '{mark}') as f, regexp_extract(header, '{mark}') as m from db))"""
+
 
 def oracle_sql() -> dict[str, str]:
+    r = "with recursive "
+    list_of = lambda rows, sep: f"string_agg(header, '{sep}' order by {rows})"
     return {
         "p4_found": f"with {_PARSED} select line_id, reason from r where reason is not null",
         "p4_rows": f"""with {_PARSED} select line_id, cast(f[1] as bigint) as lineno, f[2] as header, label, cast(note as bigint) as abundance,
  cast(f[3] as int) as missingabundance, replace(upper(bare), 'U', 'T') as sequence, f[5] as sample from r where reason is null""",
+        "fasta_scan": f"with {_RAW} select header, s as sequence from raw",
+        "abundance_plain": _annotation_sql(False),
+        "abundance_usearch": _annotation_sql(True),
+        "db_summary": f"with {_AMPS} select cast(sum(len) as bigint) as nucleotides, count(*) as sequences, max(len) as longest from amps",
+        "amplicon_order": f"with {_AMPS} select ord, header, label, abundance, len as seqlen from amps",
+        "dereplicate_stats": f"with {_D0} select cluster, size, mass, label as seed, abundance as seed_abundance, singletons, 0 as maxgen, 0 as maxradius from c0 join ro on ord = swarm",
+        "dereplicate_lists": f"with {_D0} select cluster, {list_of('ord', ' ')} as members from c0 join ro using (s) group by cluster",
+        "dereplicate_structure": f"with {_D0} select p.label as parent, m.label as child, 0 as diffs, cluster, 0 as steps from c0 join ro m using (s) join ro p on p.ord = swarm where m.ord <> swarm",
+        "dereplicate_seeds": f"with {_D0} select cluster - 1 as ord, label || '_' || mass as header, c0.s as sequence from c0 join ro on ord = swarm",
+        "dereplicate_hits": f"""with {_D0} select 'C' as c1, cast(cluster - 1 as varchar) as c2, cast(size as varchar) as c3, '*' as c4, '*' as c5, '*' as c6, '*' as c7, '*' as c8, header as c9, '*' as c10 from c0 join ro on ord = swarm
+union all select 'S', cast(cluster - 1 as varchar), cast(length(c0.s) as varchar), '*', '*', '*', '*', '*', header, '*' from c0 join ro on ord = swarm
+union all select 'H', cast(cluster - 1 as varchar), cast(length(c0.s) as varchar), '100.0', '+', '0', '0', '=', m.header, p.header from c0 join ro m using (s) join ro p on p.ord = swarm where m.ord <> swarm""",
+        "microvariant_counts": f"""with {_AMPS} select label, cast(3 * len as bigint) as substitution, cast((select count(*) from (select unnest(range(1, len + 1)) as i) where i = 1 or s[i] <> s[i - 1]) as bigint) as deletion,
+ cast(3 * len + 4 as bigint) as insertion, cast(6 * len + 4 + (select count(*) from (select unnest(range(1, len + 1)) as i) where i = 1 or s[i] <> s[i - 1]) as bigint) as variants from amps""",
+        "network_d1": f"{r}{_W1} select s.header as source, t.header as target from links join amps s on s.ord = src join amps t on t.ord = dst",
+        "network_d1_nobreak": f"{r}{_WN} select s.header as source, t.header as target from links join amps s on s.ord = src join amps t on t.ord = dst",
+        "clusters_d1": f"{r}{_W1} select ord, swarm, generation, parent from tree",
+        "clusters_d1_nobreak": f"{r}{_WN} select ord, swarm, generation, parent from tree",
+        "stats_d1": _stats(_W1),
+        "member_list_d1": f"{r}{_W1}, {_NUMBERED} select cluster, {list_of('generation, t.ord', ' ')} as members from tree t join num using (swarm) join amps a on a.ord = t.ord group by cluster",
+        "mothur_d1": f"{r}{_W1}, {_NUMBERED} select cluster as piece, {list_of('generation, t.ord', ',')} as value from tree t join num using (swarm) join amps a on a.ord = t.ord group by cluster union all select 0, 'swarm_1' || chr(9) || count(*) from cl",
+        "structure_d1": f"{r}{_W1}, {_NUMBERED} select p.label as parent, c.label as child, 1 as diffs, cluster, generation as steps from tree t join num using (swarm) join amps c on c.ord = t.ord join amps p on p.ord = t.parent",
+        "seeds_d1": f"{r}{_W1} select row_number() over (order by mass desc, header) - 1 as ord, label || '_' || mass as header, s as sequence from cl join amps on ord = swarm",
+        "totals_d1": f"{r}{_W1} select count(*) as clusters, max(size) as largest, max(mass) as heaviest, max(maxgen) as generations from cl",
+        "light_heavy_counts": f"""{r}{_W1} select cast(count(*) filter (mass >= 3) as bigint) as heavy_clusters, cast(sum(size) filter (mass >= 3) as bigint) as heavy_amplicons,
+ cast(count(*) filter (mass < 3) as bigint) as light_clusters, cast(sum(size) filter (mass < 3) as bigint) as light_amplicons, cast(sum(sumlen) filter (mass < 3) as bigint) as light_nucleotides from cl""",
+        "graft_candidates": f"{r}{_F1} select child, parent from gc",
+        "grafts": f"{r}{_F1} select light, heavy, child, parent from gr",
+        "stats_fastidious": _stats(_F1, table_="fc"),
+        "structure_fastidious": f"""{r}{_F1} select p.label as parent, c.label as child, 1 as diffs, cluster, f.generation as steps from fin f join fn using (swarm) join amps c on c.ord = f.ord join amps p on p.ord = f.parent
+ union all select p.label, c.label, 2, cluster, g.generation + 1 from fin f join fn using (swarm) join amps c on c.ord = f.ord join amps p on p.ord = f.gp join gen g on g.ord = f.gp where f.ord = f.gch""",
+        "member_list_fastidious": f"{r}{_F1} select cluster, {list_of('gp nulls first, gch nulls first, generation, f.ord', ' ')} as members from fin f join fn using (swarm) join amps a on a.ord = f.ord group by cluster",
+        "qgram_bounds": f"""{r}{_W1}, w as (select ord, substr(s, i, 5) as w, count(*) % 2 as odd from (select ord, s, unnest(range(1, len - 3))::int as i from amps) group by 1, 2),
+ ow as (select ord, w from w where odd = 1), own as (select ord, count(*) as n from ow group by ord),
+ sh as (select src, dst, count(*) as n from links join ow x on x.ord = src join ow y on y.ord = dst and y.w = x.w group by 1, 2)
+ select l.src, l.dst, cast(ceil((coalesce(a.n, 0) + coalesce(b.n, 0) - 2 * coalesce(sh.n, 0)) / 10.0) as int) as bound from links l left join own a on a.ord = l.src left join own b on b.ord = l.dst left join sh on sh.src = l.src and sh.dst = l.dst""",
+        "edges_d2": f"{r}{_W2} select src, dst from links",
+        "clusters_d2": f"{r}{_W2} select ord, swarm, generation, parent from tree",
+        "stats_d2": _stats(_W2, "greatest(maxgen, 1)", "(select max(radius) from rad join tree using (ord) where tree.swarm = c.swarm)"),
+        "structure_d2": f"""{r}{_W2}, {_NUMBERED} select p.label as parent, c.label as child, e.diff as diffs, cluster, generation as steps from tree t join num using (swarm) join amps c on c.ord = t.ord join amps p on p.ord = t.parent
+ join links e on e.src = t.parent and e.dst = t.ord""",
+        "contingency_long": f"with {_OBS} select amplicon, sample, cast(coalesce(sum(abundance), 0) as bigint) as abundance from o where amplicon is not null and sample is not null group by 1, 2",
+        "contingency_pivot": f"with {_OBS} select row_number() over (order by sum(abundance) desc, amplicon desc) - 1 as ord, amplicon, "
+        + ", ".join(f"cast(coalesce(sum(abundance) filter (sample = '{s}'), 0) as bigint) as {s}" for s in SAMPLES)
+        + ", cast(coalesce(sum(abundance), 0) as bigint) as total from o where amplicon is not null and sample in (" + ", ".join(f"'{s}'" for s in SAMPLES) + ") group by amplicon",
+        "repeated_samples": "select sample, count(*) as files from fasta_files where sample is not null group by sample having count(*) > 1",
+        "graph_nodes": f"""with {_OBS}, w as (select amplicon, cast(sum(coalesce(abundance, 0)) as bigint) as abundance from o where amplicon is not null group by 1),
+ l as (select parent as amplicon from cluster_structure where cluster_no = 1 union select child from cluster_structure where cluster_no = 1), k as (select * from w where abundance > 2 and amplicon in (select amplicon from l))
+ select amplicon, abundance, round((176 + 79.0::double / abundance) / 255, 6) as red, round(30.0::double + abundance * 70.0::double / (select max(abundance) from k), 6) as size,
+ case when abundance >= 10 or abundance = (select max(abundance) from k) then cast(abundance as varchar) else '' end as label from k""",
+        "graph_edges": f"""with {_OBS}, w as (select amplicon, sum(coalesce(abundance, 0)) as abundance from o where amplicon is not null group by 1 having sum(coalesce(abundance, 0)) > 2)
+ select parent, child from cluster_structure where cluster_no = 1 and parent in (select amplicon from w) and child in (select amplicon from w)""",
+        "stream_dereplicate": f"with {_RAW} select md5(s) as sequence_md5, count(*) as size, cast(sum(abundance) as bigint) as mass from raw group by s",
     }
