@@ -108,7 +108,7 @@ def frequent_items(columns: dict[str, tuple[DataFrame, str]], share: float = 0.0
         every = one if every is None else every.unionByName(one)
     n = stage_partitions(every.sparkSession)
     room = math.ceil(1 / share)
-    width = 2**64 // n + 1
+    width = 2**64 // (64 * n) + 1  # many ranges a reducer even out
     runs = every.mapInArrow(_runs, _RUN).withColumn("h", F.xxhash64("item"))
     # the range of the signed hash, as an int; its own hash spreads ranges over reducers, several to one at times
     ranged = runs.withColumn("range", F.floor(F.col("h") / F.lit(float(width))).cast("int"))
