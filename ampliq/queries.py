@@ -306,11 +306,14 @@ _D1 = f"""{_AMPS}, dk as (select ord, s as k from amps union select ord, substr(
 cand as (select distinct x.ord as a, y.ord as b from dk x join dk y on x.k = y.k and x.ord < y.ord),
 pairs as (select a, b, 1 as diff from cand join amps x on x.ord = a join amps y on y.ord = b where levenshtein(x.s, y.s) = 1)"""
 # pairs at most two edits apart, and of them those whose optimal affine alignment has at most two differences
-_D2 = f"""{_AMPS}, near as (select x.ord as a, y.ord as b, levenshtein(x.s, y.s) as lev, x.s as xs, y.s as ys from amps x join amps y on x.ord < y.ord and abs(x.len - y.len) <= 2 where levenshtein(x.s, y.s) <= 2),
+_D2 = f"""{_AMPS}, sg as (select ord, s, len, k, len * k // 3 as st, len * (k + 1) // 3 as en from amps, (select unnest([0, 1, 2]) as k)),
+pr as (select a.ord, n, k, substr(a.s, (n * k // 3 + sh + 1)::int, (n * (k + 1) // 3 - n * k // 3)::int) as g from (select ord, s, unnest(range(greatest(len - 2, 1), len + 3)) as n from amps) a, (select unnest([0, 1, 2]) as k), (select unnest([-2, -1, 0, 1, 2]) as sh) where n * k // 3 + sh >= 0),
+cd as materialized (select distinct least(x.ord, y.ord) as a, greatest(x.ord, y.ord) as b from sg x join pr y on y.n = x.len and y.k = x.k and y.g = substr(x.s, x.st::int + 1, (x.en - x.st)::int) where x.ord <> y.ord),
+near as materialized (select a, b, levenshtein(x.s, y.s) as lev, x.s as xs, y.s as ys from cd join amps x on x.ord = a join amps y on y.ord = b where levenshtein(x.s, y.s) <= 2),
 sl as (select a, b, lev, case when length(xs) <= length(ys) then xs else ys end as p, case when length(xs) <= length(ys) then ys else xs end as q from near),
 m as (select a, b, lev, length(q) - length(p) as dl, case when length(p) = length(q) then hamming(p, q) end as h,
  case when length(q) = length(p) + 2 then list_min(list_transform(range(0, length(p) + 1), lambda i: hamming(p, substr(q, 1, i::int) || substr(q, i::int + 3)))) end as g from sl),
-pairs as (select a, b, lev as diff from m where (dl = 0 and (h <= 2 or h >= 5)) or dl = 1 or (dl = 2 and g <> 1))"""
+pairs as materialized (select a, b, lev as diff from m where (dl = 0 and (h <= 2 or h >= 5)) or dl = 1 or (dl = 2 and g <> 1))"""
 
 
 def _walk(pairs: str, breaking: bool = True) -> str:
