@@ -13,25 +13,25 @@ from ampliq.plans.scratch import table
 
 
 def membership(amps: DataFrame, links: DataFrame, distances: bool = False) -> DataFrame:
-    """(ord, swarm, generation, parent, radius) of every amplicon; swarm is the seed's ord, a seed has no parent.
+    """(ord, root, generation, parent, radius) of every amplicon; root is the seed's ord, a seed has no parent.
 
     parent is the least member of the generation before that links to it. radius adds up differences along parents
     (distances), else it is the generation. A round is one join of the links with the amplicons that changed in the
     last one, and a minimum; states are written to the shared folder. Rounds: the longest chain of generations.
     """
     links = table(links.select("src", "dst", "diff"), "links")
-    state = table(amps.select("ord", F.col("ord").alias("swarm"), F.lit(0).alias("generation"), F.lit(True).alias("new")), "state")
+    state = table(amps.select("ord", F.col("ord").alias("root"), F.lit(0).alias("generation"), F.lit(True).alias("new")), "state")
     while True:
         told = (
             state.filter("new").join(links.select("src", "dst"), F.col("ord") == F.col("src"))
-            .groupBy("dst").agg(F.min(F.struct("swarm", (F.col("generation") + 1).alias("generation"))).alias("offer"))
+            .groupBy("dst").agg(F.min(F.struct("root", (F.col("generation") + 1).alias("generation"))).alias("offer"))
         )
-        mine = F.struct("swarm", "generation")
+        mine = F.struct("root", "generation")
         better = F.col("offer").isNotNull() & (F.col("offer") < mine)
         state = table(
             state.join(told, F.col("ord") == F.col("dst"), "left").select(
                 "ord",
-                F.when(better, F.col("offer.swarm")).otherwise(F.col("swarm")).alias("swarm"),
+                F.when(better, F.col("offer.root")).otherwise(F.col("root")).alias("root"),
                 F.when(better, F.col("offer.generation")).otherwise(F.col("generation")).alias("generation"),
                 F.coalesce(better, F.lit(False)).alias("new"),
             ),
@@ -40,16 +40,16 @@ def membership(amps: DataFrame, links: DataFrame, distances: bool = False) -> Da
         if state.filter("new").isEmpty():
             break
     state = state.drop("new")
-    up = state.select(F.col("ord").alias("src"), F.col("swarm").alias("ps"), F.col("generation").alias("pg"))
+    up = state.select(F.col("ord").alias("src"), F.col("root").alias("ps"), F.col("generation").alias("pg"))
     claimed = (
         links.join(up, "src").join(state, F.col("dst") == F.col("ord"))
-        .filter((F.col("ps") == F.col("swarm")) & (F.col("pg") == F.col("generation") - 1))
+        .filter((F.col("ps") == F.col("root")) & (F.col("pg") == F.col("generation") - 1))
         .groupBy("ord").agg(F.min(F.struct("src", "diff")).alias("p"))
         .select("ord", F.col("p.src").alias("parent"), F.col("p.diff").alias("step"))
     )
     found = state.join(claimed, "ord", "left")
     if not distances:
-        return found.select("ord", "swarm", "generation", "parent", F.col("generation").alias("radius"))
+        return found.select("ord", "root", "generation", "parent", F.col("generation").alias("radius"))
     found = table(found, "tree")
     last = found.agg(F.max("generation")).first()[0] or 0
     level = found.filter("generation = 0").select("ord", F.lit(0).alias("radius"))
@@ -60,13 +60,13 @@ def membership(amps: DataFrame, links: DataFrame, distances: bool = False) -> Da
             .select("ord", (F.col("r") + F.col("step")).cast("int").alias("radius")), "radius",
         )
         every = every.unionByName(level)
-    return found.join(every, "ord").select("ord", "swarm", "generation", "parent", "radius")
+    return found.join(every, "ord").select("ord", "root", "generation", "parent", "radius")
 
 
 def clusters(amps: DataFrame, members: DataFrame) -> DataFrame:
-    """(swarm, size, mass, sumlen, singletons, maxgen, maxradius): one row a cluster, by its seed's ord."""
+    """(root, size, mass, sumlen, singletons, maxgen, maxradius): one row a cluster, by its seed's ord."""
     return (
-        members.join(amps.select("ord", "abundance", "seqlen"), "ord").groupBy("swarm")
+        members.join(amps.select("ord", "abundance", "seqlen"), "ord").groupBy("root")
         .agg(
             F.count(F.lit(1)).alias("size"), F.sum("abundance").alias("mass"), F.sum("seqlen").alias("sumlen"),
             F.sum(F.when(F.col("abundance") == 1, 1).otherwise(0)).alias("singletons"), F.max("generation").alias("maxgen"), F.max("radius").alias("maxradius"),

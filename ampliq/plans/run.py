@@ -61,16 +61,16 @@ class Run:
 
     @cached_property
     def members(self) -> DataFrame:
-        """ord, swarm, generation, parent, radius, own, graft_parent, graft_key."""
+        """ord, root, generation, parent, radius, own, graft_parent, graft_key."""
         return grafting.attach(self.first_members, self.grafts)
 
     @cached_property
     def clusters(self) -> DataFrame:
-        """swarm, size, mass, sumlen, singletons, maxgen, maxradius, and cluster: its number, from 1."""
+        """root, size, mass, sumlen, singletons, maxgen, maxradius, and cluster: its number, from 1."""
         found = grafting.merged_clusters(self.first_clusters, self.grafts) if self.options.fastidious else self.first_clusters
         if self.options.d > 1:  # a cluster of one has a generation here
             found = found.withColumn("maxgen", F.greatest("maxgen", F.lit(1)))
-        by = (F.col("mass").desc(), F.col("swarm").asc()) if self.options.d == 0 else (F.col("swarm").asc(),)
+        by = (F.col("mass").desc(), F.col("root").asc()) if self.options.d == 0 else (F.col("root").asc(),)
         return table(dense_order(found, *by, name="cluster").withColumn("cluster", F.col("cluster") + 1), "numbered")
 
     @cached_property
@@ -79,14 +79,14 @@ class Run:
         # the heavy cluster's own members come before grafted ones, whose key is not null
         place = F.struct(F.col("graft_key").isNotNull().alias("k0"), F.col("graft_key").alias("k1"), F.col("generation").alias("k2"), F.col("ord").alias("k3"))
         return (
-            self.members.join(self.clusters.select("swarm", "cluster"), "swarm")
+            self.members.join(self.clusters.select("root", "cluster"), "root")
             .join(self.amplicons.select("ord", "shown", "label", "abundance", "sequence", "seqlen"), "ord").withColumn("place", place)
         )
 
     def member_lists(self, separator: str = " ") -> DataFrame:
-        """(cluster, swarm, members): one row a cluster. A list is one text, as its line in the output is."""
+        """(cluster, root, members): one row a cluster. A list is one text, as its line in the output is."""
         item = F.struct("place", "shown")
-        return self.listed.groupBy("cluster", "swarm").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["shown"]), separator).alias("members"))
+        return self.listed.groupBy("cluster", "root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["shown"]), separator).alias("members"))
 
     def structure(self) -> DataFrame:
         """(cluster, sort, parent, child, diffs, steps) of every link by which a member was reached; order by cluster, sort.
@@ -109,13 +109,13 @@ class Run:
 
     def statistics(self) -> DataFrame:
         """(cluster, size, mass, seed, seed_abundance, singletons, maxgen, maxradius); order by cluster."""
-        seed = self.amplicons.select(F.col("ord").alias("swarm"), F.col("label").alias("seed"), F.col("abundance").alias("seed_abundance"))
-        return self.clusters.join(seed, "swarm").select("cluster", "size", "mass", "seed", "seed_abundance", "singletons", "maxgen", "maxradius")
+        seed = self.amplicons.select(F.col("ord").alias("root"), F.col("label").alias("seed"), F.col("abundance").alias("seed_abundance"))
+        return self.clusters.join(seed, "root").select("cluster", "size", "mass", "seed", "seed_abundance", "singletons", "maxgen", "maxradius")
 
     def hits(self) -> DataFrame:
         """(cluster, kind, sort, c1 .. c10): ten-column rows, for each cluster C, S, then an H for each further member."""
         m = self.listed
-        seeds = m.filter("ord = swarm").select("cluster", F.col("shown").alias("seed"), F.col("seqlen").alias("seed_length"), F.col("sequence").alias("seed_sequence"))
+        seeds = m.filter("ord = root").select("cluster", F.col("shown").alias("seed"), F.col("seqlen").alias("seed_length"), F.col("sequence").alias("seed_sequence"))
         star = F.lit("*")
         number = (F.col("cluster") - 1).cast("string")
         def row(kind, rank, sort, third, identity, strand, fifth, cigar, query, target):
@@ -125,7 +125,7 @@ class Run:
         tops = self.clusters.select("cluster", "size").join(seeds, "cluster")
         c = tops.select(*row("C", 0, F.struct(zero.alias("a"), zero.alias("b")), F.col("size"), star, star, star, star, F.col("seed"), star))
         s = tops.select(*row("S", 1, F.struct(zero.alias("a"), zero.alias("b")), F.col("seed_length"), star, star, star, star, F.col("seed"), star))
-        others = m.filter("ord <> swarm").join(seeds, "cluster")
+        others = m.filter("ord <> root").join(seeds, "cluster")
         if self.options.d == 0:
             others = others.withColumn("aligned", F.struct(F.lit(0).alias("diff"), F.col("seqlen").alias("alen"), F.lit("").alias("cigar")))
         else:
@@ -141,11 +141,11 @@ class Run:
 
     def seeds(self) -> DataFrame:
         """(ord, header, sequence) of the seeds with their cluster's mass, by mass descending, then header (d = 0: then ord)."""
-        a = self.amplicons.select(F.col("ord").alias("swarm"), F.col("header").alias("own_header"), "before", "after", "label", "appended", "sequence")
-        found = self.clusters.join(a, "swarm")
+        a = self.amplicons.select(F.col("ord").alias("root"), F.col("header").alias("own_header"), "before", "after", "label", "appended", "sequence")
+        found = self.clusters.join(a, "root")
         plain = renumbered(self.options.usearch, F.col("before"), F.col("after"), F.col("mass"))
-        second = F.col("swarm") if self.options.d == 0 else F.col("own_header")
-        return dense_order(found.select("mass", "swarm", "own_header", plain.alias("header"), "sequence"), F.col("mass").desc(), second.asc()).select("ord", "header", "sequence")
+        second = F.col("root") if self.options.d == 0 else F.col("own_header")
+        return dense_order(found.select("mass", "root", "own_header", plain.alias("header"), "sequence"), F.col("mass").desc(), second.asc()).select("ord", "header", "sequence")
 
     def log(self) -> DataFrame:
         """(measure, value): counters of the run."""

@@ -123,7 +123,7 @@ def network_d1_nobreak(spark, d):
 
 
 def _members(r: Run) -> DataFrame:
-    return r.members.select("ord", "swarm", "generation", "parent")
+    return r.members.select("ord", "root", "generation", "parent")
 
 
 def clusters_d1(spark, d):
@@ -297,8 +297,8 @@ _NUC = "replace(regexp_replace(upper(sequence), '[^A-Z]', '', 'g'), 'U', 'T')"
 _RAW = f"""n0 as (select entry_id, coalesce(abundance, 1) as abundance, {_NUC} as s from db),
 raw as (select 'e' || entry_id || '_' || abundance as header, 'e' || entry_id as label, abundance, s from n0 where s <> ''),
 ro as (select *, row_number() over (order by abundance desc, header) - 1 as ord from raw)"""
-_D0 = f"""{_RAW}, g as (select s, min(ord) as swarm, count(*) as size, cast(sum(abundance) as bigint) as mass, cast(sum(case when abundance = 1 then 1 else 0 end) as bigint) as singletons from ro group by s),
-c0 as (select *, row_number() over (order by mass desc, swarm) as cluster from g)"""
+_D0 = f"""{_RAW}, g as (select s, min(ord) as root, count(*) as size, cast(sum(abundance) as bigint) as mass, cast(sum(case when abundance = 1 then 1 else 0 end) as bigint) as singletons from ro group by s),
+c0 as (select *, row_number() over (order by mass desc, root) as cluster from g)"""
 _AMPS = f"""n0 as (select coalesce(abundance, 1) as abundance, {_NUC} as s from db),
 n1 as (select s, cast(sum(abundance) as bigint) as abundance, 'a' || substr(md5(s), 1, 16) as label from n0 where s <> '' group by s),
 amps as (select *, label || '_' || abundance as header, length(s) as len, row_number() over (order by abundance desc, label || '_' || abundance) - 1 as ord from n1)"""
@@ -321,32 +321,32 @@ def _walk(pairs: str, breaking: bool = True) -> str:
     return f"""{pairs}, two as (select a as src, b as dst, diff from pairs union all select b, a, diff from pairs),
 links as (select src, dst, diff from two join amps s on s.ord = src join amps t on t.ord = dst {rule}),
 reach as (select ord as root, ord as node from amps union select root, dst from reach join links on src = node),
-lab as (select node as ord, min(root) as swarm from reach group by node),
-inner_ as (select src, dst, diff from links join lab p on p.ord = src join lab c on c.ord = dst and c.swarm = p.swarm),
-steps as (select ord, 0 as generation from lab where ord = swarm union select dst, generation + 1 from steps join inner_ on src = steps.ord where generation < 200),
+lab as (select node as ord, min(root) as root from reach group by node),
+inner_ as (select src, dst, diff from links join lab p on p.ord = src join lab c on c.ord = dst and c.root = p.root),
+steps as (select ord, 0 as generation from lab where ord = root union select dst, generation + 1 from steps join inner_ on src = steps.ord where generation < 200),
 gen as (select ord, min(generation) as generation from steps group by ord),
-tree as (select l.ord, l.swarm, g.generation, (select min(e.src) from inner_ e join gen q on q.ord = e.src where e.dst = l.ord and q.generation = g.generation - 1) as parent from lab l join gen g on g.ord = l.ord),
-cl as (select swarm, count(*) as size, cast(sum(abundance) as bigint) as mass, cast(sum(len) as bigint) as sumlen, cast(sum(case when abundance = 1 then 1 else 0 end) as bigint) as singletons, max(generation) as maxgen from tree join amps using (ord) group by swarm)"""
+tree as (select l.ord, l.root, g.generation, (select min(e.src) from inner_ e join gen q on q.ord = e.src where e.dst = l.ord and q.generation = g.generation - 1) as parent from lab l join gen g on g.ord = l.ord),
+cl as (select root, count(*) as size, cast(sum(abundance) as bigint) as mass, cast(sum(len) as bigint) as sumlen, cast(sum(case when abundance = 1 then 1 else 0 end) as bigint) as singletons, max(generation) as maxgen from tree join amps using (ord) group by root)"""
 
 
 _W1 = _walk(_D1)
 _WN = _walk(_D1, False)
 _W2 = f"""{_walk(_D2)}, rad as (select ord, 0 as radius from tree where parent is null union all select t.ord, r.radius + e.diff from tree t join rad r on r.ord = t.parent join links e on e.src = t.parent and e.dst = t.ord)"""
-_F1 = f"""{_W1}, hv as (select a.ord, a.s, a.len from tree t join cl using (swarm) join amps a on a.ord = t.ord where mass >= 3), lt as (select a.ord, a.s, a.len from tree t join cl using (swarm) join amps a on a.ord = t.ord where mass < 3),
+_F1 = f"""{_W1}, hv as (select a.ord, a.s, a.len from tree t join cl using (root) join amps a on a.ord = t.ord where mass >= 3), lt as (select a.ord, a.s, a.len from tree t join cl using (root) join amps a on a.ord = t.ord where mass < 3),
 gc as (select l.ord as child, min(h.ord) as parent from lt l join hv h on abs(h.len - l.len) <= 2 where levenshtein(h.s, l.s) <= 2 group by l.ord),
-gr as (select light, child, x.parent, t.swarm as heavy from (select swarm as light, child, gc.parent, row_number() over (partition by swarm order by gc.parent, child) as k from gc join tree on tree.ord = child) x join tree t on t.ord = x.parent where k = 1),
-fin as (select t.ord, coalesce(gr.heavy, t.swarm) as swarm, t.generation, t.parent, gr.parent as gp, gr.child as gch from tree t left join gr on gr.light = t.swarm),
-fc as (select h.swarm, h.size + coalesce(x.size, 0) as size, h.mass + coalesce(x.mass, 0) as mass, h.singletons + coalesce(x.singletons, 0) as singletons, h.maxgen from cl h
- left join (select heavy, sum(size) as size, sum(mass) as mass, sum(singletons) as singletons from gr join cl on cl.swarm = light group by heavy) x on x.heavy = h.swarm where h.swarm not in (select light from gr)),
-fn as (select *, row_number() over (order by swarm) as cluster from fc)"""
+gr as (select light, child, x.parent, t.root as heavy from (select root as light, child, gc.parent, row_number() over (partition by root order by gc.parent, child) as k from gc join tree on tree.ord = child) x join tree t on t.ord = x.parent where k = 1),
+fin as (select t.ord, coalesce(gr.heavy, t.root) as root, t.generation, t.parent, gr.parent as gp, gr.child as gch from tree t left join gr on gr.light = t.root),
+fc as (select h.root, h.size + coalesce(x.size, 0) as size, h.mass + coalesce(x.mass, 0) as mass, h.singletons + coalesce(x.singletons, 0) as singletons, h.maxgen from cl h
+ left join (select heavy, sum(size) as size, sum(mass) as mass, sum(singletons) as singletons from gr join cl on cl.root = light group by heavy) x on x.heavy = h.root where h.root not in (select light from gr)),
+fn as (select *, row_number() over (order by root) as cluster from fc)"""
 
 
 def _stats(walk: str, maxgen: str = "maxgen", radius: str = "maxgen", table_: str = "cl") -> str:
-    return f"""with recursive {walk} select row_number() over (order by swarm) as cluster, cast(c.size as bigint) as size, cast(mass as bigint) as mass, label as seed, abundance as seed_abundance,
-cast(singletons as bigint) as singletons, cast({maxgen} as int) as maxgen, cast({radius} as int) as maxradius from {table_} c join amps on ord = c.swarm"""
+    return f"""with recursive {walk} select row_number() over (order by root) as cluster, cast(c.size as bigint) as size, cast(mass as bigint) as mass, label as seed, abundance as seed_abundance,
+cast(singletons as bigint) as singletons, cast({maxgen} as int) as maxgen, cast({radius} as int) as maxradius from {table_} c join amps on ord = c.root"""
 
 
-_NUMBERED = "num as (select swarm, row_number() over (order by swarm) as cluster from cl)"
+_NUMBERED = "num as (select root, row_number() over (order by root) as cluster from cl)"
 _OBS = "o as (select distinct row_id, amplicon, sample, abundance from amplicon_contingency_table)"
 
 
@@ -372,41 +372,41 @@ def oracle_sql() -> dict[str, str]:
         "abundance_usearch": _annotation_sql(True),
         "db_summary": f"with {_AMPS} select cast(sum(len) as bigint) as nucleotides, count(*) as sequences, max(len) as longest from amps",
         "amplicon_order": f"with {_AMPS} select ord, header, label, abundance, len as seqlen from amps",
-        "dereplicate_stats": f"with {_D0} select cluster, size, mass, label as seed, abundance as seed_abundance, singletons, 0 as maxgen, 0 as maxradius from c0 join ro on ord = swarm",
+        "dereplicate_stats": f"with {_D0} select cluster, size, mass, label as seed, abundance as seed_abundance, singletons, 0 as maxgen, 0 as maxradius from c0 join ro on ord = root",
         "dereplicate_lists": f"with {_D0} select cluster, {list_of('ord', ' ')} as members from c0 join ro using (s) group by cluster",
-        "dereplicate_structure": f"with {_D0} select p.label as parent, m.label as child, 0 as diffs, cluster, 0 as steps from c0 join ro m using (s) join ro p on p.ord = swarm where m.ord <> swarm",
-        "dereplicate_seeds": f"with {_D0} select cluster - 1 as ord, label || '_' || mass as header, c0.s as sequence from c0 join ro on ord = swarm",
-        "dereplicate_hits": f"""with {_D0} select 'C' as c1, cast(cluster - 1 as varchar) as c2, cast(size as varchar) as c3, '*' as c4, '*' as c5, '*' as c6, '*' as c7, '*' as c8, header as c9, '*' as c10 from c0 join ro on ord = swarm
-union all select 'S', cast(cluster - 1 as varchar), cast(length(c0.s) as varchar), '*', '*', '*', '*', '*', header, '*' from c0 join ro on ord = swarm
-union all select 'H', cast(cluster - 1 as varchar), cast(length(c0.s) as varchar), '100.0', '+', '0', '0', '=', m.header, p.header from c0 join ro m using (s) join ro p on p.ord = swarm where m.ord <> swarm""",
+        "dereplicate_structure": f"with {_D0} select p.label as parent, m.label as child, 0 as diffs, cluster, 0 as steps from c0 join ro m using (s) join ro p on p.ord = root where m.ord <> root",
+        "dereplicate_seeds": f"with {_D0} select cluster - 1 as ord, label || '_' || mass as header, c0.s as sequence from c0 join ro on ord = root",
+        "dereplicate_hits": f"""with {_D0} select 'C' as c1, cast(cluster - 1 as varchar) as c2, cast(size as varchar) as c3, '*' as c4, '*' as c5, '*' as c6, '*' as c7, '*' as c8, header as c9, '*' as c10 from c0 join ro on ord = root
+union all select 'S', cast(cluster - 1 as varchar), cast(length(c0.s) as varchar), '*', '*', '*', '*', '*', header, '*' from c0 join ro on ord = root
+union all select 'H', cast(cluster - 1 as varchar), cast(length(c0.s) as varchar), '100.0', '+', '0', '0', '=', m.header, p.header from c0 join ro m using (s) join ro p on p.ord = root where m.ord <> root""",
         "microvariant_counts": f"""with {_AMPS} select label, cast(3 * len as bigint) as substitution, cast((select count(*) from (select unnest(range(1, len + 1)) as i) where i = 1 or s[i] <> s[i - 1]) as bigint) as deletion,
  cast(3 * len + 4 as bigint) as insertion, cast(6 * len + 4 + (select count(*) from (select unnest(range(1, len + 1)) as i) where i = 1 or s[i] <> s[i - 1]) as bigint) as variants from amps""",
         "network_d1": f"{r}{_W1} select s.header as source, t.header as target from links join amps s on s.ord = src join amps t on t.ord = dst",
         "network_d1_nobreak": f"{r}{_WN} select s.header as source, t.header as target from links join amps s on s.ord = src join amps t on t.ord = dst",
-        "clusters_d1": f"{r}{_W1} select ord, swarm, generation, parent from tree",
-        "clusters_d1_nobreak": f"{r}{_WN} select ord, swarm, generation, parent from tree",
+        "clusters_d1": f"{r}{_W1} select ord, root, generation, parent from tree",
+        "clusters_d1_nobreak": f"{r}{_WN} select ord, root, generation, parent from tree",
         "stats_d1": _stats(_W1),
-        "member_list_d1": f"{r}{_W1}, {_NUMBERED} select cluster, {list_of('generation, t.ord', ' ')} as members from tree t join num using (swarm) join amps a on a.ord = t.ord group by cluster",
-        "mothur_d1": f"{r}{_W1}, {_NUMBERED} select cluster as piece, {list_of('generation, t.ord', ',')} as value from tree t join num using (swarm) join amps a on a.ord = t.ord group by cluster union all select 0, 'swarm_1' || chr(9) || count(*) from cl",
-        "structure_d1": f"{r}{_W1}, {_NUMBERED} select p.label as parent, c.label as child, 1 as diffs, cluster, generation as steps from tree t join num using (swarm) join amps c on c.ord = t.ord join amps p on p.ord = t.parent",
-        "seeds_d1": f"{r}{_W1} select row_number() over (order by mass desc, header) - 1 as ord, label || '_' || mass as header, s as sequence from cl join amps on ord = swarm",
+        "member_list_d1": f"{r}{_W1}, {_NUMBERED} select cluster, {list_of('generation, t.ord', ' ')} as members from tree t join num using (root) join amps a on a.ord = t.ord group by cluster",
+        "mothur_d1": f"{r}{_W1}, {_NUMBERED} select cluster as piece, {list_of('generation, t.ord', ',')} as value from tree t join num using (root) join amps a on a.ord = t.ord group by cluster union all select 0, 'swarm_1' || chr(9) || count(*) from cl",
+        "structure_d1": f"{r}{_W1}, {_NUMBERED} select p.label as parent, c.label as child, 1 as diffs, cluster, generation as steps from tree t join num using (root) join amps c on c.ord = t.ord join amps p on p.ord = t.parent",
+        "seeds_d1": f"{r}{_W1} select row_number() over (order by mass desc, header) - 1 as ord, label || '_' || mass as header, s as sequence from cl join amps on ord = root",
         "totals_d1": f"{r}{_W1} select count(*) as clusters, max(size) as largest, max(mass) as heaviest, max(maxgen) as generations from cl",
         "light_heavy_counts": f"""{r}{_W1} select cast(count(*) filter (mass >= 3) as bigint) as heavy_clusters, cast(sum(size) filter (mass >= 3) as bigint) as heavy_amplicons,
  cast(count(*) filter (mass < 3) as bigint) as light_clusters, cast(sum(size) filter (mass < 3) as bigint) as light_amplicons, cast(sum(sumlen) filter (mass < 3) as bigint) as light_nucleotides from cl""",
         "graft_candidates": f"{r}{_F1} select child, parent from gc",
         "grafts": f"{r}{_F1} select light, heavy, child, parent from gr",
         "stats_fastidious": _stats(_F1, table_="fc"),
-        "structure_fastidious": f"""{r}{_F1} select p.label as parent, c.label as child, 1 as diffs, cluster, f.generation as steps from fin f join fn using (swarm) join amps c on c.ord = f.ord join amps p on p.ord = f.parent
- union all select p.label, c.label, 2, cluster, g.generation + 1 from fin f join fn using (swarm) join amps c on c.ord = f.ord join amps p on p.ord = f.gp join gen g on g.ord = f.gp where f.ord = f.gch""",
-        "member_list_fastidious": f"{r}{_F1} select cluster, {list_of('gp nulls first, gch nulls first, generation, f.ord', ' ')} as members from fin f join fn using (swarm) join amps a on a.ord = f.ord group by cluster",
+        "structure_fastidious": f"""{r}{_F1} select p.label as parent, c.label as child, 1 as diffs, cluster, f.generation as steps from fin f join fn using (root) join amps c on c.ord = f.ord join amps p on p.ord = f.parent
+ union all select p.label, c.label, 2, cluster, g.generation + 1 from fin f join fn using (root) join amps c on c.ord = f.ord join amps p on p.ord = f.gp join gen g on g.ord = f.gp where f.ord = f.gch""",
+        "member_list_fastidious": f"{r}{_F1} select cluster, {list_of('gp nulls first, gch nulls first, generation, f.ord', ' ')} as members from fin f join fn using (root) join amps a on a.ord = f.ord group by cluster",
         "qgram_bounds": f"""{r}{_W1}, w as (select ord, substr(s, i, 5) as w, count(*) % 2 as odd from (select ord, s, unnest(range(1, len - 3))::int as i from amps) group by 1, 2),
  ow as (select ord, w from w where odd = 1), own as (select ord, count(*) as n from ow group by ord),
  sh as (select src, dst, count(*) as n from links join ow x on x.ord = src join ow y on y.ord = dst and y.w = x.w group by 1, 2)
  select l.src, l.dst, cast(ceil((coalesce(a.n, 0) + coalesce(b.n, 0) - 2 * coalesce(sh.n, 0)) / 10.0) as int) as bound from links l left join own a on a.ord = l.src left join own b on b.ord = l.dst left join sh on sh.src = l.src and sh.dst = l.dst""",
         "edges_d2": f"{r}{_W2} select src, dst from links",
-        "clusters_d2": f"{r}{_W2} select ord, swarm, generation, parent from tree",
-        "stats_d2": _stats(_W2, "greatest(maxgen, 1)", "(select max(radius) from rad join tree using (ord) where tree.swarm = c.swarm)"),
-        "structure_d2": f"""{r}{_W2}, {_NUMBERED} select p.label as parent, c.label as child, e.diff as diffs, cluster, generation as steps from tree t join num using (swarm) join amps c on c.ord = t.ord join amps p on p.ord = t.parent
+        "clusters_d2": f"{r}{_W2} select ord, root, generation, parent from tree",
+        "stats_d2": _stats(_W2, "greatest(maxgen, 1)", "(select max(radius) from rad join tree using (ord) where tree.root = c.root)"),
+        "structure_d2": f"""{r}{_W2}, {_NUMBERED} select p.label as parent, c.label as child, e.diff as diffs, cluster, generation as steps from tree t join num using (root) join amps c on c.ord = t.ord join amps p on p.ord = t.parent
  join links e on e.src = t.parent and e.dst = t.ord""",
         "contingency_long": f"with {_OBS} select amplicon, sample, cast(coalesce(sum(abundance), 0) as bigint) as abundance from o where amplicon is not null and sample is not null group by 1, 2",
         "contingency_pivot": f"with {_OBS} select row_number() over (order by sum(abundance) desc, amplicon desc) - 1 as ord, amplicon, "

@@ -18,11 +18,15 @@ def cluster_lines(run: Run) -> tuple[DataFrame, list[str]]:
     return run.member_lists(" ").select("cluster", F.col("members").alias("value")), ["cluster"]
 
 
+#: Fixed value: what the one-line list calls its row, before the number of differences.
+ROW = "swarm_"
+
+
 def mothur_lines(run: Run) -> tuple[DataFrame, list[str]]:
     """The head, then a piece a cluster; all on one line. Without amplicons d > 1 has no line at all."""
     spark = run.amplicons.sparkSession
     n = run.clusters.count()
-    head = [(0, f"swarm_{run.options.d}\t{n}")] if n or run.options.d < 2 else []
+    head = [(0, f"{ROW}{run.options.d}\t{n}")] if n or run.options.d < 2 else []
     pieces = run.member_lists(",").select("cluster", F.col("members").alias("value"))
     return spark.createDataFrame(head, "cluster bigint, value string").unionByName(pieces), ["cluster"]
 

@@ -17,7 +17,7 @@ def edit(a, b):
 
 
 def walk(seqs, weight, linked, breaking):
-    """Sequential seed walk: seqs by ord; returns ord -> (swarm, generation, parent)."""
+    """Sequential seed walk: seqs by ord; returns ord -> (root, generation, parent)."""
     out = {}
     for seed in range(len(seqs)):
         if seed in out:
@@ -61,7 +61,7 @@ def test_equals_sequential_walk(spark, d, breaking):
         linked = lambda a, b: a != b and align([seqs[a]], [seqs[b]], cigars=False)[0][0] <= 2
     random.Random(1).shuffle(rows)
     got = run(spark.createDataFrame(rows, "header string, sequence string"), d=d, breaking=breaking).members.collect()
-    assert {r["ord"]: (r["swarm"], r["generation"], r["parent"]) for r in got} == walk(seqs, weight, linked, breaking)
+    assert {r["ord"]: (r["root"], r["generation"], r["parent"]) for r in got} == walk(seqs, weight, linked, breaking)
 
 
 def test_chain_and_outputs(spark, tmp_path):
