@@ -7,14 +7,16 @@ with Chernoff-type bounds. Three coordinates make a band; records that share a b
 verified exactly on their windows.
 
 Windows in more than `common` of the records (primers, adapters) say little and would fill the same bands for half of
-the table; they are left out of the sketch (never of the verification). A record that keeps less than half of its
-windows then gets bands over all its windows as well, so groups that consist of common windows keep their links.
+the table; they are left out of the sketch (never of the verification). Where a share c of a pair's windows is common
+and in both, the sketch sees (s - c) / (1 - c) instead of s. c is at most the share f of common windows in either
+record, so a record gets as many further bands, in blocks of BLOCK, as keep the miss over all windows at its bound for
+c = f. Where MOST blocks are too few (f over a third), it gets all of them, and bands over all its windows as well.
 
 Exact copies are collapsed first. A band's records are read in sorted order by its reducer, in constant memory; a band
 with more than HOT records goes to a join that adaptive execution can split.
 
-With 24 bands of 3 coordinates a pair of similarity s (over the windows left) is missed with (1 - s**3)**24:
-0.04 at 0.5, 0.003 at 0.6, 6e-5 at 0.7. Nulls, empty texts and texts under 8 letters have no windows and no links.
+With 24 bands of 3 coordinates a pair of similarity s without common windows is missed with (1 - s**3)**24: 0.04 at
+0.5, 0.003 at 0.6, 6e-5 at 0.7; a pair with common windows, at 0.6 and over, with 0.003 at most. Nulls, empty texts and texts under 8 letters have no windows and no links.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from ampliq.plans.scratch import stage_partitions, table
 SHINGLE = 8
 BUCKETS = 1 << 18
 HOT = 512
+BLOCK = 8
+MOST = 9
 _TWO = np.full(27, 255, np.uint8)
 for _k, _c in enumerate(b"ACGT"):
     _TWO[_c - 64] = _k
@@ -187,7 +191,15 @@ def common_windows(strings: DataFrame, share: float, least: int = 200) -> tuple[
     return bitmap, n
 
 
-def _bands(bitmap: np.ndarray, bands: int, width: int):
+def further_blocks(share: np.ndarray, similarity: float, bands: int, width: int) -> np.ndarray:
+    """Blocks of further bands for records with so large a share of common windows; MOST + 1: MOST are too few."""
+    top = min(similarity, 1 - 1e-9)
+    left = np.maximum((top - share) / np.maximum(1 - share, 1e-9), 1e-3)
+    need = bands * np.log1p(-(top**width)) / np.log1p(-(left**width))
+    return np.ceil(np.clip((need - bands) / BLOCK - 1e-9, 0, MOST + 1)).astype(np.int64)
+
+
+def _bands(bitmap: np.ndarray, similarity: float, bands: int, width: int):
     packed_map = np.packbits(bitmap)
 
     def run(batches):
@@ -199,17 +211,22 @@ def _bands(bitmap: np.ndarray, bands: int, width: int):
                 codes, offsets = unpack(part.column(0))
                 w, row = windows(codes, offsets)
                 n = len(ids)
+                once = np.unique((row.astype(np.uint64) << np.uint64(40)) | w)
+                w, row = once & np.uint64(2**40 - 1), (once >> np.uint64(40)).astype(np.int64)
                 rare = ~common[bucket(w)]
                 kept = np.bincount(row[rare], minlength=n)
                 every = np.bincount(row, minlength=n)
-                for some, use, salt in ((kept > 0, rare, 0), ((every > 0) & (2 * kept < every), ~rare | rare, 1)):
+                more = further_blocks(1 - kept / np.maximum(every, 1), similarity, bands, width)
+                sketches = [(kept > 0, rare, 0, bands), ((every > 0) & (more > MOST), ~rare | rare, 1, bands)]
+                sketches += [((kept > 0) & (more > k), rare, 2 + k, BLOCK) for k in range(MOST)]
+                for some, use, salt, m in sketches:
                     if not some.any():
                         continue
                     to = np.cumsum(some) - 1
                     use = use & some[row]
-                    s = sketch(w[use], to[row[use]], int(some.sum()), bands * width)
-                    keys = band_keys(s, bands, width, salt)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(ids[some], bands))], names=["band", "id"])
+                    s = sketch(w[use] ^ np.uint64(salt << 40), to[row[use]], int(some.sum()), m * width)
+                    keys = band_keys(s, m, width, salt)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(ids[some], m))], names=["band", "id"])
 
     return run
 
@@ -291,7 +308,7 @@ def similar_pairs(df: DataFrame, key: str = "entry_id", text: str = "sequence",
     n = stage_partitions(spark)
     strings = table(distinct_strings(df, key, text), "strings")
     bitmap, _ = common_windows(strings, common)
-    banded = strings.mapInArrow(_bands(bitmap, bands, width), "band bigint, id bigint")
+    banded = strings.mapInArrow(_bands(bitmap, similarity, bands, width), "band bigint, id bigint")
     found = table(banded.repartition(n, "band").sortWithinPartitions("band").mapInArrow(_pairs, "a bigint, b bigint, band bigint"), "candidates")
     pairs = found.filter("b is not null").select("a", "b")
     hot = found.filter("b is null").select("band", F.col("a").alias("id"))

@@ -1,6 +1,8 @@
 import datetime
 import random
 
+import pytest
+
 from ampliq.llm.duplicates import collapse, duplicate_entries, true_flags
 from ampliq.llm.seen import BloomChain, seen_before, wrong_answers
 from ampliq.llm.similar import pack, similar_groups, similar_pairs, unpack
@@ -91,6 +93,22 @@ def test_similar(spark, monkeypatch):
     assert similar_pairs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("conserved, edits", [(70, 5), (45, 4)])
+def test_pairs_that_share_a_conserved_block_are_found(spark, conserved, edits):
+    rng = random.Random(5)
+    block = "".join(rng.choice("ACGT") for _ in range(conserved))
+    rows = []
+    for i in range(150):
+        a = [rng.choice("ACGT") for _ in range(90)]
+        b = list(a)
+        for at in rng.sample(range(8, 82), edits):
+            b[at] = "ACGT"[("ACGT".index(b[at]) + 1) % 4]
+        rows += [(2 * i, block + "".join(a), 0), (2 * i + 1, block + "".join(b), 0)]
+    want = brute(rows, 0.6)
+    got = {(r["entry_a"], r["entry_b"]) for r in similar_pairs(table(spark, rows)).collect()}
+    assert len(want) > 90 and got <= want and len(got) >= 0.985 * len(want)
+
+
 def test_hot_bands_give_the_same_pairs():
     import numpy as np
     import pyarrow as pa
