@@ -237,8 +237,8 @@ def contingency_long(spark, d):
 
 
 def contingency_pivot(spark, d):
-    known = _observed(spark, d).filter(F.col("sample").isin(SAMPLES))
-    return contingency.contingency(known, SAMPLES)
+    """A column for every sample as it is spelt, registered or not; total and rows over all of them. Its SQL has S01 to S48 only."""
+    return contingency.contingency(_observed(spark, d))
 
 
 def repeated_samples(spark, d):

@@ -1,5 +1,6 @@
 import pytest
 
+from ampliq import queries
 from ampliq.operators.contingency import contingency, observations, repeated_samples
 from ampliq.operators.graph import nodes_and_edges
 from ampliq.plans.options import AmpliconError
@@ -14,6 +15,14 @@ def test_contingency(spark):
     assert repeated_samples(spark.createDataFrame([("s",), ("s",), (None,), (None,)], "sample string")).collect() == [("s", 2)]
 
 
+def test_pivot_has_every_spelling_of_a_sample(spark, tmp_path):
+    rows = [(1, "a", "S01", 5), (1, "a", "S01", 5), (2, "a", "s13.1", 2), (3, "b", "S28 1", 9), (4, "b", "blank38", None), (5, None, "S02", 4), (6, "c", None, 4)]
+    spark.createDataFrame(rows, "row_id bigint, amplicon string, sample string, abundance bigint").write.parquet(f"{tmp_path}/amplicon_contingency_table.parquet")
+    got = queries.contingency_pivot(spark, str(tmp_path)).orderBy("ord")
+    assert got.columns == ["ord", "amplicon", "S01", "S28 1", "blank38", "s13.1", "total"]
+    assert [tuple(r) for r in got.collect()] == [(0, "b", 0, 9, 0, 0, 9), (1, "a", 5, 0, 0, 2, 7)]
+
+
 def test_graph(spark):
     members = spark.createDataFrame([("a", 20), ("b", 4), ("c", 1), ("z", 9)], "amplicon string, abundance bigint")
     structure = spark.createDataFrame([("a", "b", 1, 1, 1), ("b", "c", 1, 1, 2)], "parent string, child string, diffs int, cluster_no int, steps int")
