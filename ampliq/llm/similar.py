@@ -6,7 +6,7 @@ so that every coordinate fills, after about log t rounds as a rule. Bins that ag
 with Chernoff-type bounds. Three coordinates make a band; records that share a band are candidates; candidates are
 verified exactly on their windows.
 
-Windows in more than `common` of the records (primers, adapters) say little and would fill the same bands for half of
+Windows in more than `common` of the records, and in over 200 (primers, adapters) say little and would fill the same bands for half of
 the table; they are left out of the sketch (never of the verification). Where a share c of a pair's windows is common
 and in both, the sketch sees (s - c) / (1 - c) instead of s. c is at most the share f of common windows in either
 record, so a record gets as many further bands, in blocks of BLOCK, as keep the miss over all windows at its bound for
@@ -165,29 +165,33 @@ def distinct_strings(df: DataFrame, key: str = "entry_id", text: str = "sequence
     )
 
 
-def _window_counts(share: float):
-    def run(batches):
-        total, n = np.zeros(BUCKETS, np.int64), 0
-        for batch in batches:
-            w, _ = windows(*unpack(batch.column(0)))
-            total += np.bincount(bucket(w), minlength=BUCKETS)
-            n += batch.num_rows
-        at = np.flatnonzero(total > share / 8 * n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
+def _once(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending; x is sorted in place."""
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
-    return run
+
+def _window_counts(batches):
+    """(bucket, records of this partition that have it)."""
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4000):
+            w, row = windows(*unpack(batch.column(0).slice(at, 4000)))
+            total += np.bincount(_once(row * BUCKETS + bucket(w)) % BUCKETS, minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
 
 def common_windows(strings: DataFrame, share: float, least: int = 200) -> tuple[np.ndarray, int]:
     """(bitmap of hashed windows that stand in more than share of the records, number of records).
 
-    What comes to the driver is bounded by mean length / (share / 8), whatever the number of records.
+    The share is least / records if that is more: what so few records have fills no hot band. A partition sends BUCKETS
+    counts at most; what comes to the driver is bounded by mean length / share. The miss bound holds for any choice.
     """
-    counts = strings.mapInArrow(_window_counts(share), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rows = {r["bucket"]: r["n"] for r in counts.filter(F.col("n") > least).collect()}
-    n = rows.pop(-1, 0)
+    n = strings.count()
+    counts = strings.mapInArrow(_window_counts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     bitmap = np.zeros(BUCKETS, bool)
-    bitmap[[b for b, c in rows.items() if c > max(share * n, least)]] = True
+    bitmap[[r["bucket"] for r in counts.filter(F.col("n") > max(share * n, least)).collect()]] = True
     return bitmap, n
 
 
@@ -211,7 +215,7 @@ def _bands(bitmap: np.ndarray, similarity: float, bands: int, width: int):
                 codes, offsets = unpack(part.column(0))
                 w, row = windows(codes, offsets)
                 n = len(ids)
-                once = np.unique((row.astype(np.uint64) << np.uint64(40)) | w)
+                once = _once((row.astype(np.uint64) << np.uint64(40)) | w)
                 w, row = once & np.uint64(2**40 - 1), (once >> np.uint64(40)).astype(np.int64)
                 rare = ~common[bucket(w)]
                 kept = np.bincount(row[rare], minlength=n)

@@ -109,6 +109,19 @@ def test_pairs_that_share_a_conserved_block_are_found(spark, conserved, edits):
     assert len(want) > 90 and got <= want and len(got) >= 0.985 * len(want)
 
 
+def test_common_windows_are_a_share_of_the_records(spark):
+    import numpy as np
+
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("ACGT") for _ in range(60)), 0) for i in range(300)]
+    rows = [(i, "GATTACAG" + s if i < 30 else s + "ACGT" * 100 if i < 33 else s, 0) for i, s, _ in rows]
+    strings = similar.distinct_strings(table(spark, rows))
+    at = similar.bucket(similar.windows(np.frombuffer(b"GATTACAGACGTACGT", np.uint8) - 64, np.array([0, 8, 16]))[0])
+    for n in (1, 7):
+        bitmap, records = similar.common_windows(strings.repartition(n), 0.02, least=0)
+        assert records == 300 and bitmap[at].tolist() == [True, False]
+
+
 def test_hot_bands_give_the_same_pairs():
     import numpy as np
     import pyarrow as pa
