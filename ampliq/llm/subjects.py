@@ -27,6 +27,7 @@ SAMPLE = 20_000
 BEAM = 8
 RIDGE = 3e-4
 LEAST = 4
+MAX_SUBJECTS = 1000
 _QUOTED = re.compile(r"""["“”„«»]([^"“”„«»]{1,80})["“”„«»]""")
 _SENTENCE = re.compile(r"[.!?]+[\s\"“”»]+|\n+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -267,9 +268,11 @@ def _classify(chain):
 
 
 def document_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, subject): every subject of every document. subjects is read to the driver, a thousand rows at most."""
+    """(doc_id, subject): every subject of every document. subjects is read to the driver, MAX_SUBJECTS distinct ones at most."""
     spark = documents.sparkSession
-    names = sorted({r["subject"] for r in subjects.select("subject").limit(1000).collect() if r["subject"]})
+    names = sorted(r["subject"] for r in subjects.select("subject").filter("subject <> ''").distinct().limit(MAX_SUBJECTS + 1).collect())
+    if len(names) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects are listed")
     chain = train(labelled(documents, labels, sample), names) if names else None
     if chain is None:
         return spark.createDataFrame([], "doc_id bigint, subject string")

@@ -79,3 +79,17 @@ def test_subjects_on_held_out_documents(spark):
     assert not set(got) & {900, 901, 902}
     assert sum(got.get(i, set()) == truth[i] for i in range(400, 600)) >= 190
     assert document_subjects(d, s, y.limit(0)).count() == 0 and document_subjects(d.limit(0), s, y).count() == 0
+
+
+def test_subjects_are_never_cut_off(spark):
+    import pytest
+
+    from ampliq.llm import subjects
+
+    docs = spark.createDataFrame([(i, "the cat sleeps" if i % 2 else "stocks fell today", "web") for i in range(60)], "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, "zoo" if i % 2 else "money") for i in range(60)], "doc_id bigint, subject string")
+    listed = spark.createDataFrame([(None,)] * 500 + [("",)] * 300 + [("money",)] * 700 + [("zoo",)], "subject string").coalesce(1)
+    assert {r["doc_id"] for r in subjects.document_subjects(docs, listed, labels).filter("subject = 'zoo'").collect()} >= set(range(1, 60, 2))
+    many = spark.range(subjects.MAX_SUBJECTS + 1).selectExpr("concat('s', id) as subject")
+    with pytest.raises(ValueError):
+        subjects.document_subjects(docs, many, labels)
