@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (tests, local runs) a folder of our own is set."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's spark.checkpoint.dir. Where it is unset a local session gets a folder of our own; a cluster, whose
+    executors could not read each other's temporary folders, a RuntimeError."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
-        at = spark.sparkContext.getCheckpointDir()
-        known = at or tempfile.mkdtemp(prefix="ampliq-shared-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        known = tempfile.mkdtemp(prefix="ampliq-shared-")
         spark.conf.set("spark.checkpoint.dir", known)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(known)
@@ -41,13 +44,23 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-def table(df: DataFrame, name: str, keep: int | None = None) -> DataFrame:
-    """df written once as zstd parquet and read again: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one, removed when the session ends."""
     path = f"{shared_dir(spark)}/ampliq-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """(df written once as zstd parquet and read again, its folder, for drop_scratch once it is superseded)."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df written once as zstd parquet and read again: cuts the lineage and outlives lost executors."""
+    return kept(df, name)[0]
 
 
 def stage_partitions(spark: SparkSession, factor: int = 1) -> int:

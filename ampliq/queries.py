@@ -18,8 +18,6 @@ from ampliq.sources import rejects
 from ampliq.sources.fasta import read_fasta
 from ampliq.streaming.dereplicate import dereplicate_folder
 
-SAMPLES = [f"S{k:02d}" for k in range(1, 49)]
-
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -237,7 +235,7 @@ def contingency_long(spark, d):
 
 
 def contingency_pivot(spark, d):
-    """A column for every sample as it is spelt, registered or not; total and rows over all of them. Its SQL has S01 to S48 only."""
+    """A column for every sample as it is spelt, registered or not; total and rows over all of them."""
     return contingency.contingency(_observed(spark, d))
 
 
@@ -323,8 +321,7 @@ links as (select src, dst, diff from two join amps s on s.ord = src join amps t
 reach as (select ord as root, ord as node from amps union select root, dst from reach join links on src = node),
 lab as (select node as ord, min(root) as root from reach group by node),
 inner_ as (select src, dst, diff from links join lab p on p.ord = src join lab c on c.ord = dst and c.root = p.root),
-steps as (select ord, 0 as generation from lab where ord = root union select dst, generation + 1 from steps join inner_ on src = steps.ord where generation < 200),
-gen as (select ord, min(generation) as generation from steps group by ord),
+gen(ord, generation) using key (ord) as (select ord, 0 from lab where ord = root union select dst, generation + 1 from gen join inner_ on src = gen.ord where dst not in (select ord from recurring.gen)),
 tree as (select l.ord, l.root, g.generation, (select min(e.src) from inner_ e join gen q on q.ord = e.src where e.dst = l.ord and q.generation = g.generation - 1) as parent from lab l join gen g on g.ord = l.ord),
 cl as (select root, count(*) as size, cast(sum(abundance) as bigint) as mass, cast(sum(len) as bigint) as sumlen, cast(sum(case when abundance = 1 then 1 else 0 end) as bigint) as singletons, max(generation) as maxgen from tree join amps using (ord) group by root)"""
 
@@ -387,7 +384,7 @@ union all select 'H', cast(cluster - 1 as varchar), cast(length(c0.s) as varchar
         "clusters_d1_nobreak": f"{r}{_WN} select ord, root, generation, parent from tree",
         "stats_d1": _stats(_W1),
         "member_list_d1": f"{r}{_W1}, {_NUMBERED} select cluster, {list_of('generation, t.ord', ' ')} as members from tree t join num using (root) join amps a on a.ord = t.ord group by cluster",
-        "mothur_d1": f"{r}{_W1}, {_NUMBERED} select cluster as piece, {list_of('generation, t.ord', ',')} as value from tree t join num using (root) join amps a on a.ord = t.ord group by cluster union all select 0, 'swarm_1' || chr(9) || count(*) from cl",
+        "mothur_d1": f"{r}{_W1}, {_NUMBERED} select cluster as piece, {list_of('generation, t.ord', ',')} as value from tree t join num using (root) join amps a on a.ord = t.ord group by cluster union all select 0, 'otu_1' || chr(9) || count(*) from cl",
         "structure_d1": f"{r}{_W1}, {_NUMBERED} select p.label as parent, c.label as child, 1 as diffs, cluster, generation as steps from tree t join num using (root) join amps c on c.ord = t.ord join amps p on p.ord = t.parent",
         "seeds_d1": f"{r}{_W1} select row_number() over (order by mass desc, header) - 1 as ord, label || '_' || mass as header, s as sequence from cl join amps on ord = root",
         "totals_d1": f"{r}{_W1} select count(*) as clusters, max(size) as largest, max(mass) as heaviest, max(maxgen) as generations from cl",
@@ -409,9 +406,9 @@ union all select 'H', cast(cluster - 1 as varchar), cast(length(c0.s) as varchar
         "structure_d2": f"""{r}{_W2}, {_NUMBERED} select p.label as parent, c.label as child, e.diff as diffs, cluster, generation as steps from tree t join num using (root) join amps c on c.ord = t.ord join amps p on p.ord = t.parent
  join links e on e.src = t.parent and e.dst = t.ord""",
         "contingency_long": f"with {_OBS} select amplicon, sample, cast(coalesce(sum(abundance), 0) as bigint) as abundance from o where amplicon is not null and sample is not null group by 1, 2",
-        "contingency_pivot": f"with {_OBS} select row_number() over (order by sum(abundance) desc, amplicon desc) - 1 as ord, amplicon, "
-        + ", ".join(f"cast(coalesce(sum(abundance) filter (sample = '{s}'), 0) as bigint) as {s}" for s in SAMPLES)
-        + ", cast(coalesce(sum(abundance), 0) as bigint) as total from o where amplicon is not null and sample in (" + ", ".join(f"'{s}'" for s in SAMPLES) + ") group by amplicon",
+        "contingency_pivot": f"""with p as (pivot (select distinct row_id, amplicon, sample, abundance from amplicon_contingency_table where amplicon is not null and sample is not null) on sample using cast(coalesce(sum(abundance), 0) as bigint) group by amplicon),
+ {_OBS}, s as (select amplicon, cast(coalesce(sum(abundance), 0) as bigint) as total from o where amplicon is not null and sample is not null group by 1)
+ select row_number() over (order by total desc, p.amplicon desc) - 1 as ord, p.*, total from p join s using (amplicon)""",
         "repeated_samples": "select sample, count(*) as files from fasta_files where sample is not null group by sample having count(*) > 1",
         "graph_nodes": f"""with {_OBS}, w as (select amplicon, cast(sum(coalesce(abundance, 0)) as bigint) as abundance from o where amplicon is not null group by 1),
  l as (select parent as amplicon from cluster_structure where cluster_no = 1 union select child from cluster_structure where cluster_no = 1), k as (select * from w where abundance > 2 and amplicon in (select amplicon from l))

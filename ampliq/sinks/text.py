@@ -18,15 +18,14 @@ def cluster_lines(run: Run) -> tuple[DataFrame, list[str]]:
     return run.member_lists(" ").select("cluster", F.col("members").alias("value")), ["cluster"]
 
 
-#: Fixed value: what the one-line list calls its row, before the number of differences.
-ROW = "swarm_"
+def mothur_lines(run: Run, row: str = "otu_") -> tuple[DataFrame, list[str]]:
+    """The head, then a piece a cluster; all on one line. Without amplicons d > 1 has no line at all.
 
-
-def mothur_lines(run: Run) -> tuple[DataFrame, list[str]]:
-    """The head, then a piece a cluster; all on one line. Without amplicons d > 1 has no line at all."""
+    row: what the line is called, before the number of differences.
+    """
     spark = run.amplicons.sparkSession
     n = run.clusters.count()
-    head = [(0, f"{ROW}{run.options.d}\t{n}")] if n or run.options.d < 2 else []
+    head = [(0, f"{row}{run.options.d}\t{n}")] if n or run.options.d < 2 else []
     pieces = run.member_lists(",").select("cluster", F.col("members").alias("value"))
     return spark.createDataFrame(head, "cluster bigint, value string").unionByName(pieces), ["cluster"]
 
@@ -58,15 +57,15 @@ def log_lines(run: Run) -> tuple[DataFrame, list[str]]:
 OUTPUTS = {"clusters": cluster_lines, "mothur": mothur_lines, "structure": structure_lines, "network": network_lines, "statistics": statistics_lines, "uclust": hit_lines, "seeds": seed_lines, "log": log_lines}
 
 
-def write_directory(run: Run, output: str, path: str) -> None:
-    """One output as a folder of part files whose names follow its order."""
-    lines, by = OUTPUTS[output](run)
+def write_directory(run: Run, output: str, path: str, **options) -> None:
+    """One output as a folder of part files whose names follow its order. options: those of its lines."""
+    lines, by = OUTPUTS[output](run, **options)
     lines.orderBy(*by).select("value").write.mode("overwrite").text(path)
 
 
-def write_file(run: Run, output: str, path: str) -> None:
+def write_file(run: Run, output: str, path: str, **options) -> None:
     """One output as a single file on the driver's machine, "-" for standard output; partitions come one at a time."""
-    lines, by = OUTPUTS[output](run)
+    lines, by = OUTPUTS[output](run, **options)
     to = sys.stdout if path == "-" else open(path, "w", encoding="utf-8", newline="")  # noqa: SIM115
     joint = "\t" if output == "mothur" else "\n"
     try:

@@ -70,7 +70,7 @@ def test_chain_and_outputs(spark, tmp_path):
     df = spark.createDataFrame(rows, "header string, sequence string")
     r = run(df, fastidious=True)
     for name, text in {
-        "clusters": "a_9 b_1 d_1\nc_4\n", "mothur": "swarm_1\t2\ta_9,b_1,d_1\tc_4\n", "structure": "a\tb\t1\t1\t1\na\td\t2\t1\t1\n", "network": None,
+        "clusters": "a_9 b_1 d_1\nc_4\n", "mothur": "otu_1\t2\ta_9,b_1,d_1\tc_4\n", "structure": "a\tb\t1\t1\t1\na\td\t2\t1\t1\n", "network": None,
         "statistics": "3\t11\ta\t9\t2\t1\t1\n1\t4\tc\t4\t0\t0\t0\n", "seeds": ">a_11\nAAAAAAAAAA\n>c_4\nAAAAAAAACC\n",
         "uclust": "C\t0\t3\t*\t*\t*\t*\t*\ta_9\t*\nS\t0\t10\t*\t*\t*\t*\t*\ta_9\t*\nH\t0\t10\t90.0\t+\t0\t0\t10M\tb_1\ta_9\nH\t0\t10\t80.0\t+\t0\t0\t10M\td_1\ta_9\nC\t1\t1\t*\t*\t*\t*\t*\tc_4\t*\nS\t1\t10\t*\t*\t*\t*\t*\tc_4\t*\n",
     }.items():
