@@ -6,24 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampliq.functions.alignment import affine_diff
-from ampliq.operators.neighbours import pairs_within, pairs_within_one
+from ampliq.operators.neighbours import pairs_of
 from ampliq.plans.options import Options
 
 
-def directed(pairs: DataFrame, amps: DataFrame, breaking: bool) -> DataFrame:
-    """Both directions of (a, b, diff) pairs; with breaking only those from an amplicon at least as abundant."""
-    both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "diff").unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "diff"))
-    if not breaking:
-        return both
-    # ord ascends as abundance descends, so only links that go up in ord's order need a look at the abundances
-    weight = amps.select("ord", "abundance")
-    tied = (
-        both.filter("src > dst")
-        .join(weight.select(F.col("ord").alias("src"), F.col("abundance").alias("ws")), "src")
-        .join(weight.select(F.col("ord").alias("dst"), F.col("abundance").alias("wd")), "dst")
-        .filter("ws >= wd").select("src", "dst", "diff")
-    )
-    return both.filter("src < dst").unionByName(tied)
+def directed(pairs: DataFrame, breaking: bool) -> DataFrame:
+    """(src, dst, from_sequence, to_sequence) both ways of (a, b, sa, sb, abundance_a, abundance_b) with a < b.
+
+    ord ascends as abundance descends: with breaking the way back is open only between equal abundances.
+    """
+    way = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), F.col(f"s{x}").alias("from_sequence"), F.col(f"s{y}").alias("to_sequence"))
+    there, both = F.array(way("a", "b")), F.array(way("a", "b"), way("b", "a"))
+    ways = F.when(F.col("abundance_a") == F.col("abundance_b"), both).otherwise(there) if breaking else both
+    return pairs.select(F.explode(ways).alias("w")).select("w.*")
 
 
 def edges(amps: DataFrame, options: Options = Options()) -> DataFrame:
@@ -34,16 +29,10 @@ def edges(amps: DataFrame, options: Options = Options()) -> DataFrame:
     """
     if options.d == 0:
         return amps.sparkSession.createDataFrame([], "src bigint, dst bigint, diff int")
+    found = directed(pairs_of(amps, options.d, extra=("abundance",)), options.breaking)
     if options.d == 1:
-        return directed(pairs_within_one(amps).withColumn("diff", F.lit(1)), amps, options.breaking)
-    near = pairs_within(amps, amps, options.d).select(F.col("a").alias("src"), F.col("b").alias("dst"), "sa", "sb")
-    if options.breaking:
-        weight = amps.select("ord", "abundance")
-        near = (
-            near.join(weight.select(F.col("ord").alias("src"), F.col("abundance").alias("ws")), "src")
-            .join(weight.select(F.col("ord").alias("dst"), F.col("abundance").alias("wd")), "dst").filter("ws >= wd")
-        )
-    return near.withColumn("diff", affine_diff(options.penalties)("sa", "sb")).filter(F.col("diff") <= options.d).select("src", "dst", "diff")
+        return found.select("src", "dst", F.lit(1).alias("diff"))
+    return found.withColumn("diff", affine_diff(options.penalties)("from_sequence", "to_sequence")).filter(F.col("diff") <= options.d).select("src", "dst", "diff")
 
 
 def network(amps: DataFrame, links: DataFrame) -> DataFrame:

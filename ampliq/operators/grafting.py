@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampliq.operators.neighbours import pairs_within
+from ampliq.operators.neighbours import pairs_between
 
 
 def graft_candidates(amps: DataFrame, members: DataFrame, found: DataFrame, limit: int) -> DataFrame:
     """(child, parent): for each amplicon of a light cluster the least amplicon of a heavy one at most two edits away.
 
     Two sequences share a sequence one edit from either exactly when they are at most two edits apart, so this is one
-    pigeonhole join; abundances play no part.
+    join by pieces; abundances play no part.
     """
     heavy = F.col("mass") >= limit
     side = lambda c: members.join(found.filter(c).select("root"), "root").select("ord").join(amps.select("ord", "sequence"), "ord")
-    near = pairs_within(side(heavy), side(~heavy), 2)
+    near = pairs_between(side(heavy), side(~heavy), 2)
     return near.groupBy(F.col("b").alias("child")).agg(F.min("a").alias("parent"))
 
 
