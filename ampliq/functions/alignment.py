@@ -14,71 +14,66 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-_LEFT, _UP, _MORE_LEFT, _MORE_UP = 1, 2, 4, 8
+#: Cells of one block of pairs, which bound its memory.
+CELLS = 3_000_000
 
 
-def _band(query: np.ndarray, hit: np.ndarray, m: np.ndarray, delta: int, k: int, costs: tuple[int, int, int]):
-    """Flags of the band's cells, row by row, and each pair's cost. Offsets run from min(0, delta) - k."""
+def _layers(query: np.ndarray, hit: np.ndarray, m: np.ndarray, delta: int, k: int, costs: tuple[int, int, int]):
+    """(layers, each pair's cost, lowest offset): the least costs of each cell of the band by how an alignment ends there.
+
+    layers[0] ends with a pair of letters, layers[1] with a gap in the query, layers[2] with a gap in the hit; cells are
+    [row of the query, pair, offset of the hit], and offsets run from min(0, delta) - k.
+    """
     mismatch, start, extend = costs
     low = min(0, delta) - k
     width = abs(delta) + 2 * k + 1
     pairs, rows = len(m), int(m.max())
-    big = np.int64(1) << 40
+    kind = np.int32 if (rows + width) * (mismatch + start + extend) < 2**28 else np.int64
+    big = kind(2**29 if kind is np.int32 else 2**60)
     off = np.arange(width) + low
-    h = np.where(off > 0, start + extend * off, np.where(off == 0, 0, big))[None].repeat(pairs, 0)
-    f = np.full((pairs, width), big)
-    flags = np.zeros((rows + 1, pairs, width), np.uint8)
-    cost = np.where(m == 0, h[:, delta - low], 0)
-    ramp = extend * np.arange(width)
+    least = np.where(off > 0, start + extend * off, np.where(off == 0, 0, big)).astype(kind)[None].repeat(pairs, 0)
+    layers = np.full((3, rows + 1, pairs, width), big, kind)
+    cost = np.where(m == 0, least[:, delta - low], 0)
+    ramp = (extend * np.arange(width)).astype(kind)
     for i in range(1, rows + 1):
+        pair, in_query, in_hit = layers[:, i]
         j = i + off
         letters = hit[:, np.clip(j - 1, 0, hit.shape[1] - 1)]
-        diag = h + np.where(letters == query[:, i - 1 : i], 0, mismatch)
-        f_new = np.full((pairs, width), big)
-        f_new[:, :-1] = np.minimum(h[:, 1:] + start, f[:, 1:]) + extend
-        edge = j == 0
-        diag[:, j <= 0] = big
-        f_new[:, j <= 0] = big
-        best = np.minimum(diag, f_new)
-        best[:, edge] = start + extend * i
-        e = np.full((pairs, width), big)
-        e[:, 1:] = np.minimum.accumulate(best - ramp, axis=1)[:, :-1] + start + ramp[1:]
-        e[:, j <= 0] = big
-        h = np.minimum(best, e)
-        flags[i] = (e == h) * _LEFT + (f_new < diag) * _UP + (e < h + start) * _MORE_LEFT + (f_new < h + start) * _MORE_UP
-        f = f_new
+        inner = j > 0
+        pair[:, inner] = (least + np.where(letters == query[:, i - 1 : i], 0, mismatch).astype(kind))[:, inner]
+        down = np.minimum(least[:, 1:] + start, layers[2, i - 1, :, 1:]) + extend
+        in_hit[:, :-1][:, inner[:-1]] = down[:, inner[:-1]]
+        ended = np.minimum(pair, in_hit)
+        ended[:, j == 0] = start + extend * i
+        across = np.minimum.accumulate(ended - ramp, axis=1)[:, :-1] + start + ramp[1:]
+        in_query[:, 1:][:, inner[1:]] = across[:, inner[1:]]
+        least = np.minimum(np.minimum(ended, in_query), big)
         done = m == i
-        cost[done] = h[done, delta - low]
-    return flags, cost, low
+        cost[done] = least[done, delta - low]
+    return layers, cost, low
 
 
-def _trace(flags: np.ndarray, low: int, query: np.ndarray, hit: np.ndarray, m: np.ndarray, n: np.ndarray):
-    """(operations from the end, one row a step, 0 after a pair's start; matches)."""
+def _trace(layers: np.ndarray, low: int, start: int, query: np.ndarray, hit: np.ndarray, m: np.ndarray, n: np.ndarray):
+    """(operations from the end, one row a step, 0 after a pair's start; matches), by the costs of the cell at hand."""
     pairs = np.arange(len(m))
     i, j = m.copy(), n.copy()
-    last = np.zeros(len(m), np.uint8)
+    gap = {letter: np.zeros(len(m), bool) for letter in "ID"}  # whether the step before was in that gap
     matches = np.zeros(len(m), np.int64)
     steps = []
-    while True:
-        live = (i > 0) | (j > 0)
-        if not live.any():
-            return np.array(steps, np.uint8).reshape(len(steps), len(m)), matches
+    while ((i > 0) | (j > 0)).any():
         inside = (i > 0) & (j > 0)
-        cell = np.where(inside, flags[np.maximum(i, 0), pairs, np.clip(j - i - low, 0, flags.shape[2] - 1)], 0)
-        more_i = (last == ord("I")) & (cell & _MORE_LEFT > 0)
-        more_d = (last == ord("D")) & (cell & _MORE_UP > 0)
-        go_i = more_i | (~more_d & (cell & _LEFT > 0))
-        go_d = ~go_i & (more_d | (cell & _UP > 0))
-        op = np.where(go_i, ord("I"), np.where(go_d, ord("D"), ord("M"))).astype(np.uint8)
-        op[~inside & (i > 0)] = ord("D")
-        op[~inside & (j > 0)] = ord("I")
-        op[~live] = 0
-        pair = op == ord("M")
-        matches += pair & (query[pairs, np.maximum(i - 1, 0)] == hit[pairs, np.maximum(j - 1, 0)])
-        i -= pair | (op == ord("D"))
-        j -= pair | (op == ord("I"))
-        steps.append(op)
-        last = op
+        pair, in_query, in_hit = layers[:, i, pairs, np.clip(j - i - low, 0, layers.shape[3] - 1)]
+        best = np.minimum(np.minimum(pair, in_query), in_hit)
+        longer = {"I": gap["I"] & (in_query < best + start), "D": gap["D"] & (in_hit < best + start)}
+        free = ~longer["I"] & ~longer["D"]
+        query_gap = np.where(inside, longer["I"] | (free & (in_query == best)), j > 0)
+        hit_gap = np.where(inside, longer["D"] | (free & (in_query > best) & (in_hit < pair)), i > 0)
+        both = inside & ~query_gap & ~hit_gap
+        matches += both & (query[pairs, np.maximum(i - 1, 0)] == hit[pairs, np.maximum(j - 1, 0)])
+        steps.append(np.select([query_gap, hit_gap, both], [ord("I"), ord("D"), ord("M")], 0).astype(np.uint8))
+        gap = {"I": query_gap, "D": hit_gap}
+        i, j = i - (both | hit_gap), j - (both | query_gap)
+    return np.array(steps, np.uint8).reshape(len(steps), len(m)), matches
 
 
 def _padded(texts: list[bytes]) -> np.ndarray:
@@ -104,21 +99,25 @@ def align(queries: list[str], hits: list[str], costs: tuple[int, int, int] = (18
     m, n = np.array([len(x) for x in q], np.int64), np.array([len(x) for x in t], np.int64)
     diff, size = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
     text: list[str | None] = [None] * len(q)
-    todo = [(rows[at : at + block], 4) for d in np.unique(n - m) for rows in [np.flatnonzero(n - m == d)] for at in range(0, len(rows), block)]
+    todo: list[tuple[np.ndarray, int]] = []
+
+    def add(rows: np.ndarray, k: int) -> None:
+        step = max(1, min(block, CELLS // (int(m[rows].max()) + 1) // (abs(int(n[rows[0]] - m[rows[0]])) + 2 * k + 1)))
+        todo.extend((rows[at : at + step], k) for at in range(0, len(rows), step))
+
+    for d in np.unique(n - m):
+        add(np.flatnonzero(n - m == d), 4)
     while todo:
         rows, k = todo.pop()
         a, b = _padded([q[r] for r in rows]), _padded([t[r] for r in rows])
-        delta = int(n[rows[0]] - m[rows[0]])
-        flags, cost, low = _band(a, b, m[rows], delta, k, costs)
+        layers, cost, low = _layers(a, b, m[rows], int(n[rows[0]] - m[rows[0]]), k, costs)
         sure = (cost < costs[1] + costs[2] * (k + 1)) | (k >= np.maximum(m[rows], n[rows]))
         if not sure.all():
-            rest = rows[~sure]
-            step = max(1, min(block, 4_000_000 // (int(m[rest].max()) + 1) // (abs(delta) + 4 * k + 1)))
-            todo += [(rest[at : at + step], 2 * k) for at in range(0, len(rest), step)]
+            add(rows[~sure], 2 * k)
         if not sure.any():
             continue
         kept = rows[sure]
-        ops, matches = _trace(np.ascontiguousarray(flags[:, sure]), low, a[sure], b[sure], m[kept], n[kept])
+        ops, matches = _trace(np.ascontiguousarray(layers[:, :, sure]), low, costs[1], a[sure], b[sure], m[kept], n[kept])
         length = (ops > 0).sum(0) if len(ops) else np.zeros(len(kept), np.int64)
         diff[kept], size[kept] = length - matches, length
         if cigars:

@@ -6,40 +6,74 @@ That is what visiting amplicons in order and claiming all that is reachable give
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampliq.plans.scratch import table
+from ampliq.plans.scratch import drop_scratch, kept
+
+#: Tables of changes after which they are merged into one.
+MERGE = 6
+
+
+def _union(parts: list[tuple[DataFrame, str]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df for df, _ in parts])
+
+
+def reached(links: DataFrame) -> tuple[DataFrame, list[str]]:
+    """((ord, root, generation) of every amplicon that one before it reaches, folders to drop once it is read).
+
+    A round offers the changes of the last one along the links and writes what gets better; nothing else is written
+    or read to the end of it: an amplicon never reached is its own root and stands nowhere. Every MERGE rounds the
+    changes are merged and the merged tables dropped, so disk does not grow with the rounds. Rounds: the longest chain.
+    """
+    pairs = links.select("src", "dst")
+    least = lambda: F.min(F.struct("root", "generation")).alias("best")
+    first = pairs.filter("src < dst").groupBy(F.col("dst").alias("ord")).agg(F.min("src").alias("root")).select("ord", "root", F.lit(1).alias("generation"))
+    parts = [kept(first, "reached")]
+    while not parts[-1][0].isEmpty():
+        told = parts[-1][0].join(pairs, F.col("ord") == F.col("src")).select(F.col("dst").alias("ord"), "root", (F.col("generation") + 1).alias("generation"))
+        offers = told.groupBy("ord").agg(F.min(F.struct("root", "generation")).alias("offer"))
+        mine = _union(parts).join(offers.select("ord"), "ord", "left_semi").groupBy("ord").agg(least())
+        own = F.coalesce("best", F.struct(F.col("ord").alias("root"), F.lit(0).alias("generation")))
+        better = offers.join(mine, "ord", "left").filter(F.col("offer") < own).select("ord", "offer.root", "offer.generation")
+        if len(parts) > MERGE:
+            merged = kept(_union(parts).groupBy("ord").agg(least()).select("ord", "best.root", "best.generation"), "reached")
+            changed = kept(better, "reached")
+            for _, path in parts:
+                drop_scratch(links.sparkSession, path)
+            parts = [merged, changed]
+        else:
+            parts.append(kept(better, "reached"))
+    return _union(parts).groupBy("ord").agg(least()).select("ord", "best.root", "best.generation"), [path for _, path in parts]
+
+
+def _radii(tree: DataFrame) -> DataFrame:
+    """(ord, radius): steps added up along the parents of tree (ord, parent, step); each round doubles the way covered."""
+    spark = tree.sparkSession
+    ways, path = kept(tree.select("ord", F.col("parent").alias("top"), F.coalesce("step", F.lit(0)).alias("radius")), "ways")
+    while not ways.filter("top is not null").isEmpty():
+        on = ways.filter("top is not null")
+        up = ways.select(F.col("ord").alias("top"), F.col("top").alias("next"), F.col("radius").alias("more"))
+        longer = on.join(up, "top").select("ord", F.col("next").alias("top"), (F.col("radius") + F.col("more")).alias("radius"))
+        following, next_path = kept(ways.filter("top is null").unionByName(longer), "ways")
+        drop_scratch(spark, path)
+        ways, path = following, next_path
+    return ways.select("ord", F.col("radius").cast("int").alias("radius"))
 
 
 def membership(amps: DataFrame, links: DataFrame, distances: bool = False) -> DataFrame:
     """(ord, root, generation, parent, radius) of every amplicon; root is the seed's ord, a seed has no parent.
 
     parent is the least member of the generation before that links to it. radius adds up differences along parents
-    (distances), else it is the generation. A round is one join of the links with the amplicons that changed in the
-    last one, and a minimum; states are written to the shared folder. Rounds: the longest chain of generations.
+    (distances), else it is the generation. links: a written table, which every round reads.
     """
-    links = table(links.select("src", "dst", "diff"), "links")
-    state = table(amps.select("ord", F.col("ord").alias("root"), F.lit(0).alias("generation"), F.lit(True).alias("new")), "state")
-    while True:
-        told = (
-            state.filter("new").join(links.select("src", "dst"), F.col("ord") == F.col("src"))
-            .groupBy("dst").agg(F.min(F.struct("root", (F.col("generation") + 1).alias("generation"))).alias("offer"))
-        )
-        mine = F.struct("root", "generation")
-        better = F.col("offer").isNotNull() & (F.col("offer") < mine)
-        state = table(
-            state.join(told, F.col("ord") == F.col("dst"), "left").select(
-                "ord",
-                F.when(better, F.col("offer.root")).otherwise(F.col("root")).alias("root"),
-                F.when(better, F.col("offer.generation")).otherwise(F.col("generation")).alias("generation"),
-                F.coalesce(better, F.lit(False)).alias("new"),
-            ),
-            "state",
-        )
-        if state.filter("new").isEmpty():
-            break
-    state = state.drop("new")
+    found, paths = reached(links)
+    own = amps.select("ord").join(found.withColumnsRenamed({"root": "r", "generation": "g"}), "ord", "left")
+    state, _ = kept(own.select("ord", F.coalesce("r", "ord").alias("root"), F.coalesce("g", F.lit(0)).alias("generation")), "state")
+    for path in paths:
+        drop_scratch(amps.sparkSession, path)
     up = state.select(F.col("ord").alias("src"), F.col("root").alias("ps"), F.col("generation").alias("pg"))
     claimed = (
         links.join(up, "src").join(state, F.col("dst") == F.col("ord"))
@@ -47,20 +81,11 @@ def membership(amps: DataFrame, links: DataFrame, distances: bool = False) -> Da
         .groupBy("ord").agg(F.min(F.struct("src", "diff")).alias("p"))
         .select("ord", F.col("p.src").alias("parent"), F.col("p.diff").alias("step"))
     )
-    found = state.join(claimed, "ord", "left")
+    tree = state.join(claimed, "ord", "left")
     if not distances:
-        return found.select("ord", "root", "generation", "parent", F.col("generation").alias("radius"))
-    found = table(found, "tree")
-    last = found.agg(F.max("generation")).first()[0] or 0
-    level = found.filter("generation = 0").select("ord", F.lit(0).alias("radius"))
-    every = level
-    for g in range(1, last + 1):
-        level = table(
-            found.filter(F.col("generation") == g).join(level.select(F.col("ord").alias("parent"), F.col("radius").alias("r")), "parent")
-            .select("ord", (F.col("r") + F.col("step")).cast("int").alias("radius")), "radius",
-        )
-        every = every.unionByName(level)
-    return found.join(every, "ord").select("ord", "root", "generation", "parent", "radius")
+        return tree.select("ord", "root", "generation", "parent", F.col("generation").alias("radius"))
+    tree, _ = kept(tree, "tree")
+    return tree.join(_radii(tree), "ord").select("ord", "root", "generation", "parent", "radius")
 
 
 def clusters(amps: DataFrame, members: DataFrame) -> DataFrame:

@@ -85,3 +85,19 @@ def test_components_and_singleton_generation(spark):
     pairs = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(50, 49), (7, 7), (99, 99), (None, 3)], "a bigint, b bigint")
     assert {r["node"]: r["component"] for r in connected_components(pairs).collect()} == {k: 0 for k in range(31)} | {49: 49, 50: 49, 99: 99}
     assert run(spark.createDataFrame([("a_1", "ACGT")], "header string, sequence string"), d=2).statistics().first()["maxgen"] == 1
+
+
+def test_a_long_chain_takes_no_disk_for_its_rounds(spark, monkeypatch):
+    from ampliq.operators import clustering
+    from ampliq.plans import scratch
+
+    live = set()
+    new, drop = scratch.new_path, clustering.drop_scratch
+    monkeypatch.setattr(scratch, "new_path", lambda s, n: live.add(p := new(s, n)) or p)
+    monkeypatch.setattr(clustering, "drop_scratch", lambda s, p: (live.discard(p), drop(s, p)))
+    n = 24
+    amps = spark.range(n).selectExpr("id as ord")
+    links = spark.createDataFrame([(k, k + 1, 1 + k % 2) for k in range(n - 1)] + [(k + 1, k, 2) for k in range(3)], "src bigint, dst bigint, diff int")
+    got = {r["ord"]: tuple(r)[1:] for r in clustering.membership(amps, links, True).collect()}
+    assert got == {k: (0, k, k - 1 if k else None, sum(1 + j % 2 for j in range(k))) for k in range(n)}
+    assert len(live) <= 3
