@@ -1,36 +1,36 @@
 """Problem 7: the corpus encoded with a public byte-level BPE.
 
-Method: a global distinct-word shuffle. Texts are split into pre-tokens with positions, each distinct pre-token is
-encoded once, its ids are joined back and the text is put together by position. Pre-tokens that hold a large part of
-a bounded hashed sample of the documents are encoded on the driver (at most 1 / HEAVY of them) and filled in where
-the text is split, so that the join has no hot key; the sample decides where a word is encoded, never how.
-Decoding joins ids with the table of token bytes.
+Method: a global distinct-word shuffle. Texts are split once into pre-tokens with positions, which are written; each
+distinct pre-token is encoded once, its ids are joined back by the word, and a text's pieces meet under its row number
+and are put together by position. Pre-tokens that hold HEAVY of a bounded hashed sample of the documents are encoded on
+the driver (at most 1 / HEAVY of them) and filled in where the text is split, so that the join has no hot key; the
+sample decides where a word is encoded, never how. Runs of such words are one piece. Decoding joins ids with the table
+of token bytes.
 
 Null and empty texts both have the empty list. Strings of special tokens are ordinary text. Rows that repeat an id
-and its text come out as often as they came in; an id with two texts has a row for each. Empty tables give no rows.
+come out as often as they came in, each with the ids of its text. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import hashlib
 import os
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampliq.plans.scratch import stage_partitions
+from ampliq.plans.scratch import stage_partitions, table
 
 VOCABULARY = os.environ.get("AMPLIQ_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the pattern that splits a text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 HEAVY = 0.0005
-SAMPLE = 20_000
-_PARTS = "array<struct<pos:int,ids:array<int>>>"
-_PART = pa.list_(pa.struct([("pos", pa.int32()), ("ids", pa.list_(pa.int32()))]))
+SAMPLE = 4_000
+_PIECES = "row bigint, doc bigint, pos int, word string, word_ids array<int>"
 
 
 @functools.lru_cache(maxsize=2)
@@ -61,33 +61,76 @@ def splitter():
 
 
 def _split(heavy: dict[str, list[int]]):
-    """A row a text with its heavy words filled in, and a row a light word with its positions."""
+    """The pieces of every text: a word that is still to be encoded, or the ids of heavy words that follow one another.
+
+    A text has a piece without ids at position -1, which brings its id and lets an empty text come out.
+    """
 
     def run(batches):
-        find = splitter().findall
+        find, known = splitter().findall, heavy.get
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: list[tuple] = []
-            for doc, text in zip(ids, texts):
-                text = text or ""
-                key = hashlib.md5(text.encode()).digest()
-                places: dict[str, list[int]] = {}
-                done = []
-                for k, word in enumerate(find(text)):
-                    got = heavy.get(word)
-                    if got is not None:
-                        done.append({"pos": k, "ids": got})
+            row, doc, pos, word, flat, ends = [], [], [], [], [], []
+            for r, d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                row.append(r)
+                doc.append(d)
+                pos.append(-1)
+                word.append(None)
+                ends.append(len(flat))
+                if not text:
+                    continue
+                at = len(row)
+                opened = False
+                for k, w in enumerate(find(text)):
+                    got = known(w)
+                    if got is None:
+                        pos.append(k)
+                        word.append(w)
+                        ends.append(len(flat))
+                        opened = False
                     else:
-                        places.setdefault(word, []).append(k)
-                rows.append((doc, key, 1, None, None, done))
-                rows += [(doc, key, 0, w, p, None) for w, p in places.items()]
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int32()), _PART)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc", "text_key", "copies", "word", "places", "done"])
+                        flat += got
+                        if opened:
+                            ends[-1] = len(flat)
+                        else:
+                            pos.append(k)
+                            word.append(None)
+                            ends.append(len(flat))
+                            opened = True
+                n = len(pos) - at
+                row += [r] * n
+                doc += [None] * n
+            lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(word, pa.string()), lists], names=["row", "doc", "pos", "word", "word_ids"])
 
     return run
 
 
+def _assemble(batches):
+    """Pieces sorted by row and position to (doc, ids); a row's ids are its pieces' ids, which already lie in order."""
+    held: list[pa.RecordBatch] = []  # the last row's pieces, which may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        row = batch.column(0).to_numpy()
+        if held and row[-1] == held[0].column(0)[0].as_py():
+            held.append(batch)
+            continue
+        cut = int(np.searchsorted(row, row[-1], "left"))
+        yield _texts(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+        held = [batch.slice(cut)]
+    if held:
+        yield _texts(pa.Table.from_batches(held))
+
+
+def _texts(part: pa.Table) -> pa.RecordBatch:
+    row = part.column(0).to_numpy()
+    start = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    lists = part.column(2).combine_chunks()
+    ends = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    ids = pa.ListArray.from_arrays(pa.array(ends[np.append(start, len(row))], pa.int32()), lists.flatten())
+    return pa.RecordBatch.from_arrays([part.column(1).combine_chunks().take(pa.array(start)), ids], names=["doc", "ids"])
+
+
 def _encode(path: str):
     def run(batches):
         one = piece_encoder(path)
@@ -124,18 +167,14 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
     spark = df.sparkSession
     texts = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"))
     heavy = heavy_words(texts, vocabulary)
-    split = texts.mapInArrow(_split(heavy), f"doc bigint, text_key binary, copies bigint, word string, places array<int>, done {_PARTS}")
-    n = stage_partitions(spark)
-    words = split.filter("word is not null").select("word").distinct().mapInArrow(_encode(vocabulary), "word string, word_ids array<int>")
-    found = split.join(words.hint("shuffle_merge"), "word", "left")
-    parts = found.select(
-        "doc", "text_key", "copies",
-        F.when(F.col("word").isNull(), F.col("done")).otherwise(F.transform("places", lambda p: F.struct(p.alias("pos"), F.col("word_ids").alias("ids")))).alias("parts"),
-    )
-    whole = parts.repartition(n, "doc", "text_key").groupBy("doc", "text_key").agg(F.sum("copies").alias("copies"), F.flatten(F.collect_list("parts")).alias("parts"))
-    once = F.array_sort(F.when(F.col("copies") > 1, F.array_distinct("parts")).otherwise(F.col("parts")))
-    ids = F.flatten(F.transform(once, lambda p: p["ids"]))
-    return whole.select(F.col("doc").alias(key), ids.alias("ids"), F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(key, "ids")
+    split = table(texts.select(F.monotonically_increasing_id().alias("row"), "doc", "text").mapInArrow(_split(heavy), _PIECES), "pieces")
+    light = split.filter("word is not null").select("row", "pos", "word")
+    words = light.select("word").distinct().mapInArrow(_encode(vocabulary), "word string, word_ids array<int>")
+    none = F.lit(None).cast("bigint").alias("doc")
+    found = light.join(words.hint("shuffle_merge"), "word").select("row", "pos", none, "word_ids")
+    pieces = split.filter("word is null").select("row", "pos", "doc", "word_ids").unionByName(found)
+    whole = pieces.repartition(stage_partitions(spark), "row").sortWithinPartitions("row", "pos").select("row", "doc", "word_ids")
+    return whole.mapInArrow(_assemble, "doc bigint, ids array<int>").select(F.col("doc").alias(key), "ids")
 
 
 def token_table(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
