@@ -1,13 +1,12 @@
 """Problem 5: the most frequent values of a column, in bounded memory.
 
-Method: external sort and run-length counting. Every batch is reduced to runs (value, count); runs go to the range of
-their 64-bit value hash (equal ranges need no sampling pass, and a value that holds a third of all rows is one run per
-batch), each range is sorted by Spark's external sort, runs of one value are merged, and a bounded heap keeps the
-range's best. At most 1 / share values can hold more than that share of the rows, so a heap of that size loses none:
-the counts that come out are exact.
-
-Nulls are not counted, the empty text is a value like others. Ties of the heap are broken by the value; an empty
-table gives no rows.
+Method: external sort and run-length counting. Every partition's values are sorted (Spark's external sort) and counted
+as runs, one run a distinct value; the runs are written and range-partitioned by value, so that a value that holds a
+third of all rows is one run a partition; each range's runs are sorted and merged with their counts, and a bounded heap
+keeps the range's best. At most 1 / share values can hold more than that share of the rows, and no value outside its
+range's first k can be among the first k of all, so heaps of that size lose none: the counts that come out are exact.
+
+Nulls are not counted, the empty text is a value like others. Ties are broken by the value; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,18 +20,39 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampliq.plans.scratch import stage_partitions
+from ampliq.plans.scratch import stage_partitions, table
 
 _RUN = "field string, item string, n bigint"
 
 
+def _starts(field, item) -> np.ndarray:
+    """Where runs of one value begin; there are no nulls."""
+    new = np.ones(len(field), bool)
+    if len(field) > 1:
+        same = pc.and_(pc.equal(field.slice(1), field.slice(0, len(field) - 1)), pc.equal(item.slice(1), item.slice(0, len(item) - 1)))
+        new[1:] = ~same.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
 def _runs(batches):
+    """Sorted values to runs; the last run of a batch waits for the next one."""
+    held = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         field, item = batch.column(0), batch.column(1)
-        for f in pc.unique(field).to_pylist():
-            got = pc.value_counts(item.filter(pc.equal(field, f)))
-            values, counts = got.field(0), got.field(1)
-            yield pa.RecordBatch.from_arrays([pa.array([f] * len(got), pa.string()), values.cast(pa.string()), counts], names=["field", "item", "n"])
+        start = _starts(field, item)
+        n = np.diff(np.append(start, batch.num_rows))
+        fields, items = field.take(pa.array(start)), item.take(pa.array(start))
+        if held is not None:
+            if fields[0].as_py() == held[0] and items[0].as_py() == held[1]:
+                n[0] += held[2]
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.string()), pa.array([held[1]], pa.string()), pa.array([held[2]])], names=["field", "item", "n"])
+        held = (fields[-1].as_py(), items[-1].as_py(), int(n[-1]))
+        yield pa.RecordBatch.from_arrays([fields.slice(0, len(n) - 1), items.slice(0, len(n) - 1), pa.array(n[:-1])], names=["field", "item", "n"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.string()), pa.array([held[1]], pa.string()), pa.array([held[2]])], names=["field", "item", "n"])
 
 
 def _best(room: int):
@@ -56,11 +76,7 @@ def _best(room: int):
             if not batch.num_rows:
                 continue
             field, item, n = batch.column(0), batch.column(1), batch.column(2).to_numpy()
-            change = np.ones(batch.num_rows, bool)
-            if batch.num_rows > 1:
-                same = pc.and_(pc.equal(field.slice(1), field.slice(0, len(field) - 1)), pc.equal(item.slice(1), item.slice(0, len(item) - 1)))
-                change[1:] = ~same.to_numpy(zero_copy_only=False)
-            start = np.flatnonzero(change)
+            start = _starts(field, item)
             counts = np.add.reduceat(n, start)
             fields = field.take(pa.array(start)).to_pylist()
             firsts = {f: None for f in fields}
@@ -100,24 +116,26 @@ def _best(room: int):
     return run
 
 
-def frequent_items(columns: dict[str, tuple[DataFrame, str]], share: float = 0.01) -> DataFrame:
-    """(field, item, n, rows): each value in more than share of its column's non-null rows. columns: name -> (frame, column)."""
+def _ranges(columns: dict[str, tuple[DataFrame, str]], room: int) -> DataFrame:
+    """(field, item, n, rows): the room most frequent values of each range, and the rows of the whole field."""
     every = None
     for name, (df, column) in columns.items():
         one = df.select(F.lit(name).alias("field"), F.col(column).cast("string").alias("item")).filter("item is not null")
         every = one if every is None else every.unionByName(one)
-    n = stage_partitions(every.sparkSession)
-    room = math.ceil(1 / share)
-    width = 2**64 // (64 * n) + 1  # many ranges a reducer even out
-    runs = every.mapInArrow(_runs, _RUN).withColumn("h", F.xxhash64("item"))
-    # the range of the signed hash, as an int; its own hash spreads ranges over reducers, several to one at times
-    ranged = runs.withColumn("range", F.floor(F.col("h") / F.lit(float(width))).cast("int"))
-    best = (
-        ranged.repartition(n, "range").sortWithinPartitions("field", "h", "item").select("field", "item", "n").mapInArrow(_best(room), _RUN)
-    )
-    whole = Window.partitionBy("field")  # at most (1 / share + 1) rows of a field from each range
-    return (
-        best.withColumn("rows", F.sum(F.when(F.col("item").isNull(), F.col("n"))).over(whole))
-        .filter(F.col("item").isNotNull() & (F.col("n") > F.col("rows") * F.lit(share)))
-        .select("field", "item", "n", "rows")
-    )
+    # written, as the range partitioner looks at its input before it reads it
+    runs = table(every.sortWithinPartitions("field", "item").mapInArrow(_runs, _RUN), "runs")
+    ranged = runs.repartitionByRange(stage_partitions(every.sparkSession), "field", "item").sortWithinPartitions("field", "item")
+    best = ranged.mapInArrow(_best(room), _RUN)
+    whole = Window.partitionBy("field")  # room + 1 rows of a field from each range at most
+    return best.withColumn("rows", F.sum(F.when(F.col("item").isNull(), F.col("n"))).over(whole)).filter("item is not null")
+
+
+def frequent_items(columns: dict[str, tuple[DataFrame, str]], share: float = 0.01) -> DataFrame:
+    """(field, item, n, rows): each value in more than share of its column's non-null rows. columns: name -> (frame, column)."""
+    return _ranges(columns, math.ceil(1 / share)).filter(F.col("n") > F.col("rows") * F.lit(share))
+
+
+def top_items(columns: dict[str, tuple[DataFrame, str]], k: int = 10) -> DataFrame:
+    """(field, item, n, place): the k most frequent values of each column, ties the greater value first."""
+    place = F.row_number().over(Window.partitionBy("field").orderBy(F.col("n").desc(), F.col("item").desc()))
+    return _ranges(columns, k).withColumn("place", place).filter(F.col("place") <= k).select("field", "item", "n", "place")

@@ -6,10 +6,12 @@ Kernels work on flat byte arrays of a whole Arrow batch; bytes outside ASCII are
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
+import pyarrow as pa
 
-from ampliq.functions.bytescan import flat, mix64, rows_of
+from ampliq.functions.bytescan import flat, mix64, row_sums
 
 #: byte -> 1..26 for a letter in either case (U as T), 0 for a byte to skip.
 FOLD = np.zeros(256, np.uint8)
@@ -30,44 +32,81 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(out)
 
 
-_LETTERS = tuple(mix64(np.arange(1, 28, dtype=np.uint64) * np.uint64(k)) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+_LETTERS = tuple(np.append(np.uint64(0), mix64(np.arange(2, 28, dtype=np.uint64) * np.uint64(k))) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+
+
+#: The same fold for bytes.translate: what each byte becomes, and the bytes that are skipped.
+_UPPER = bytes(int(c) + 64 if c else 0 for c in FOLD)
+_SKIPPED = bytes(b for b in range(256) if not FOLD[b])
+CHUNK = 1 << 16
+BLOCK = 1 << 20
 
 
 class Folded:
-    """One batch: kept positions of the raw bytes, their codes and the row limits among them."""
+    """One batch as it was delivered: the raw bytes, each byte's fold (0 for one to skip), and the letters counted by row."""
 
     def __init__(self, column):
         self.raw, self.raw_offsets, self.valid = flat(column)
-        codes = FOLD[self.raw]
-        self.at = np.flatnonzero(codes)  # the skip pointers
-        self.codes = codes[self.at]
-        self.offsets = np.searchsorted(self.at, self.raw_offsets)
+        self.fold = FOLD[self.raw]
+        self.before = np.zeros(len(self.raw) + 1, np.int64)  # letters before each byte
+        np.cumsum(self.fold > 0, out=self.before[1:])
+        self.offsets = self.before[self.raw_offsets]
         self.lengths = np.diff(self.offsets)
 
+    @functools.cached_property
+    def at(self) -> np.ndarray:
+        """Skip pointers: where each letter lies among the raw bytes."""
+        return np.flatnonzero(self.fold)
+
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two polynomial hashes by row, modulo 2**64, finalised with the number of letters."""
-        index = np.arange(len(self.codes)) - np.repeat(self.offsets[:-1], self.lengths)
-        size = 1 << int(max(1, self.lengths.max(initial=1)) - 1).bit_length()
+        """Two polynomial hashes by row, modulo 2**64, finalised with the number of letters.
+
+        Every raw byte adds its fold's value times the base to the power of the letters before it in its row; a byte
+        to skip adds nothing, so no string without such bytes is ever made.
+        """
+        place = self.before[:-1] - np.repeat(self.offsets[:-1], np.diff(self.raw_offsets))
+        size = 1 << int(max(1, self.lengths.max(initial=1))).bit_length()
         out = []
-        for power, letter in zip(_powers(max(size, 512)), _LETTERS):
-            total = np.zeros(len(self.codes) + 1, np.uint64)
-            np.cumsum(letter[self.codes] * power[index], out=total[1:])
-            out.append(mix64((total[self.offsets[1:]] - total[self.offsets[:-1]]) ^ self.lengths.astype(np.uint64)))
+        for power, value in zip(_powers(max(size, 512)), _LETTERS):
+            total = row_sums(value[self.fold] * power[place], self.raw_offsets)
+            out.append(mix64(total ^ self.lengths.astype(np.uint64)))
         return out[0].view(np.int64), out[1].view(np.int64)
 
     def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether rows a[k] and b[k] have the same letters: both pointers walk the kept positions, skipping the rest."""
+        """Whether rows a[k] and b[k] have the same letters: a pointer in each goes from letter to letter over the raw
+        bytes, past those to skip, BLOCK steps of all pairs at a time."""
         equal = self.lengths[a] == self.lengths[b]
-        n = np.where(equal, self.lengths[a], 0)
+        n = np.where(equal & (a != b), self.lengths[a], 0)
         ends = np.concatenate(([0], np.cumsum(n)))
-        step = np.arange(ends[-1]) - np.repeat(ends[:-1], n)
-        differ = self.codes[np.repeat(self.offsets[a], n) + step] != self.codes[np.repeat(self.offsets[b], n) + step]
-        total = np.concatenate(([0], np.cumsum(differ)))
-        return equal & (total[ends[1:]] == total[ends[:-1]])
+        for low in range(0, int(ends[-1]), BLOCK):
+            step = np.arange(low, min(low + BLOCK, int(ends[-1])))
+            pair = np.searchsorted(ends, step, "right") - 1
+            step -= ends[pair]
+            left, right = self.at[self.offsets[a[pair]] + step], self.at[self.offsets[b[pair]] + step]
+            equal[pair[self.fold[left] != self.fold[right]]] = False
+        return equal
+
+    def text(self, row: int) -> bytes:
+        """The row's raw bytes."""
+        return self.raw[self.raw_offsets[row] : self.raw_offsets[row + 1]].tobytes()
+
+    def digest(self, row: int) -> bytes:
+        """MD5 of the row's letters, fed from CHUNK raw bytes at a time."""
+        md5 = hashlib.md5()
+        for at in range(int(self.raw_offsets[row]), int(self.raw_offsets[row + 1]), CHUNK):
+            md5.update(self.raw[at : min(at + CHUNK, int(self.raw_offsets[row + 1]))].tobytes().translate(_UPPER, _SKIPPED))
+        return md5.digest()
+
+    def codes_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(letter codes, offsets) of some rows, without the bytes to skip."""
+        n = self.lengths[rows]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        return self.fold[self.at[np.repeat(self.offsets[rows], n) + np.arange(ends[-1]) - np.repeat(ends[:-1], n)]], ends
+
 
-    def letters(self, row: int) -> bytes:
-        """The row's letters, to feed a digest."""
-        return (self.codes[self.offsets[row] : self.offsets[row + 1]] + 64).tobytes()
+def same_letters(a: bytes, b: bytes) -> bool:
+    """Whether two raw texts have the same letters."""
+    return bool(Folded(pa.array([a, b], pa.large_binary())).same(np.array([0]), np.array([1]))[0])
 
 
 def first_of_key(h1: np.ndarray, h2: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -81,5 +120,3 @@ def first_of_key(h1: np.ndarray, h2: np.ndarray, among: np.ndarray) -> np.ndarra
     first[order] = lead
     return among[first]
 
-
-__all__ = ["FOLD", "Folded", "first_of_key", "rows_of"]

@@ -54,6 +54,11 @@ def p5_counts(spark, d):
     return _frequent(spark, d).select("field", "item", "n")
 
 
+def p5_top(spark, d):
+    """The ten most frequent values of either field."""
+    return frequent.top_items({"sequence": (_t(spark, d, "db"), "sequence"), "abundance": (_t(spark, d, "amplicon_contingency_table"), "abundance")})
+
+
 def _terms(spark, d):
     return terms.term_counts(_t(spark, d, "amplicon_contingency_table"), ["amplicon", "sample", "abundance"])
 
@@ -95,7 +100,7 @@ def p9_composition(spark, d):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_records, p2_flags, p3_found, p3_rate, p5_found, p5_counts, p6_found, p6_counts, p7_ids, p7_decoded, p8_selection, p8_shares, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_records, p2_flags, p3_found, p3_rate, p5_found, p5_counts, p5_top, p6_found, p6_counts, p7_ids, p7_decoded, p8_selection, p8_shares, p9_found, p9_composition)}
 
 
 _NUC = "replace(regexp_replace(upper(sequence), '[^A-Z]', '', 'g'), 'U', 'T')"
@@ -120,11 +125,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"with {_PAIRS} select entry_a, entry_b from p",
         "p2_found": f"with {_DB} select md5(n) as sequence_md5, entry_id from e where n in (select n from e group by n having count(*) > 1)",
-        "p2_records": f"with {_DB} select md5(n) as sequence_md5, min(entry_id) as entry_id, count(*) as copies from e group by n having count(*) > 1",
+        "p2_records": f"with {_DB} select md5(n) as sequence_md5, min(entry_id) as entry_id, count(*) as copies from e group by n",
         "p2_flags": f"with {_DB} select entry_id, coalesce(n in (select n from e group by n having count(*) > 1), false) as has_duplicates from n",
         "p3_found": _SEEN,
         "p5_found": f"with {_SHARES} select field, item from f",
         "p5_counts": f"with {_SHARES} select field, item, n from f",
+        "p5_top": f"with {_SHARES} select field, item, n, place from (select *, row_number() over (partition by field order by n desc, item desc) as place from g) where place <= 10",
         "p6_found": f"with {_ITEMS} select field, item, case when n_records = 1 then 'rare' else 'common' end as mark from g where n_records = 1 or n_records > 0.05 * (select count(distinct row_id) from amplicon_contingency_table)",
         "p6_counts": f"with {_ITEMS} select field, item, n_rows, n_records from g",
         "p7_decoded": "select doc_id, coalesce(text, '') as text from documents",

@@ -149,9 +149,7 @@ def _strings(batches):
         first = rows[first_of_key(h1[rows], h2[rows], np.arange(len(rows)))]
         first = np.where(f.same(rows, first), first, rows)
         lead = np.unique(first)
-        n = f.lengths[lead]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        codes = f.codes[np.repeat(f.offsets[lead], n) + np.arange(ends[-1]) - np.repeat(ends[:-1], n)]
+        codes, ends = f.codes_of(lead)
         yield pa.RecordBatch.from_arrays([pack(codes, ends), pa.array(ids[lead])], names=["packed", "entry_id"])
 
 
