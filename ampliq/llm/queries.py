@@ -105,8 +105,8 @@ def queries() -> dict:
 
 _NUC = "replace(regexp_replace(upper(sequence), '[^A-Z]', '', 'g'), 'U', 'T')"
 _DB = f"n as (select entry_id, loaded_at, {_NUC} as n from db), e as (select * from n where n <> '')"
-_SEEN = f"""with {_DB}, r as (select *, row_number() over (partition by n order by loaded_at, entry_id) as k from e)
-select entry_id from r where k > 1 or n in (select sequence from known_sequences)"""
+_SEEN = f"""{_DB}, r as (select *, row_number() over (partition by n order by loaded_at, entry_id) as k from e),
+t as (select *, k > 1 or n in (select sequence from known_sequences) as seen from r)"""
 _PAIRS = f"""{_DB}, s as (select min(entry_id) as id, n from e group by n),
 w as (select distinct id, substr(n, i::int, 8) as w from (select id, n, unnest(range(1, length(n) - 6)) as i from s where length(n) >= 8)),
 c as (select id, count(*) as c from w group by id),
@@ -124,10 +124,16 @@ f as (select field, item, n from g where n > 0.01 * (select sum(n) from g h wher
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"with {_PAIRS} select entry_a, entry_b from p",
+        "p1_groups": f"""with recursive {_PAIRS}, l as (select entry_a as a, entry_b as b from p union all select entry_b, entry_a from p),
+reach as (select id as root, id as node from s union select root, b from reach join l on a = node), g as (select node, min(root) as group_id from reach group by node)
+select e.entry_id, group_id from e join s using (n) join g on g.node = s.id""",
+        "p3_rate": f"""with {_SEEN},
+z as (select count(*) as entries, count(*) filter (not seen) as new_keys, count(*) filter (seen) as truly_seen from t)
+select entries, new_keys, truly_seen as answered_seen, truly_seen, 0 as wrong, 0.0::double as wrong_rate, 1e-6::double as rate_bound from z""",
         "p2_found": f"with {_DB} select md5(n) as sequence_md5, entry_id from e where n in (select n from e group by n having count(*) > 1)",
         "p2_records": f"with {_DB} select md5(n) as sequence_md5, min(entry_id) as entry_id, count(*) as copies from e group by n",
         "p2_flags": f"with {_DB} select entry_id, coalesce(n in (select n from e group by n having count(*) > 1), false) as has_duplicates from n",
-        "p3_found": _SEEN,
+        "p3_found": f"with {_SEEN} select entry_id from t where seen",
         "p5_found": f"with {_SHARES} select field, item from f",
         "p5_counts": f"with {_SHARES} select field, item, n from f",
         "p5_top": f"with {_SHARES} select field, item, n, place from (select *, row_number() over (partition by field order by n desc, item desc) as place from g) where place <= 10",

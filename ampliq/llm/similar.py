@@ -6,17 +6,21 @@ so that every coordinate fills, after about log t rounds as a rule. Bins that ag
 with Chernoff-type bounds. Three coordinates make a band; records that share a band are candidates; candidates are
 verified exactly on their windows.
 
-Windows in more than `common` of the records, and in over 200 (primers, adapters) say little and would fill the same bands for half of
-the table; they are left out of the sketch (never of the verification). Where a share c of a pair's windows is common
+Windows in more than `common` of the records (primers, adapters) say little and would fill the same bands for half of
+the table; they are left out of the sketch (never of the verification). It is a share at every size of the table. Where a share c of a pair's windows is common
 and in both, the sketch sees (s - c) / (1 - c) instead of s. c is at most the share f of common windows in either
 record, so a record gets as many further bands, in blocks of BLOCK, as keep the miss over all windows at its bound for
 c = f. Where MOST blocks are too few (f over a third), it gets all of them, and bands over all its windows as well.
 
-Exact copies are collapsed first. A band's records are read in sorted order by its reducer, in constant memory; a band
-with more than HOT records goes to a join that adaptive execution can split.
+Exact copies are collapsed first. A band's records are read in sorted order by its reducer, in constant memory. The
+records of bands with more than HOT of them are not paired by band: they meet under their rarest windows. Of a record's
+m windows, rarest first, the first m - ceil(s m) + 1 must hold one that a record of similarity s has among its own
+first ones, so this loses no pair. The same step over all records is the exact mode (exact=True), for measuring what
+the bands miss. A window that over HOT records have among their rarest stands for records alike nearly everywhere;
+they are paired by a join that adaptive execution can split.
 
-With 24 bands of 3 coordinates a pair of similarity s without common windows is missed with (1 - s**3)**24: 0.04 at
-0.5, 0.003 at 0.6, 6e-5 at 0.7; a pair with common windows, at 0.6 and over, with 0.003 at most. Nulls, empty texts and texts under 8 letters have no windows and no links.
+With 30 bands of 3 coordinates a pair of similarity s without common windows is missed with (1 - s**3)**30: 0.02 at
+0.5, 7e-4 at 0.6, 5e-6 at 0.7; a pair with common windows, at 0.6 and over, with 7e-4 at most. Nulls, empty texts and texts under 8 letters have no windows and no links.
 """
 
 from __future__ import annotations
@@ -180,17 +184,18 @@ def _window_counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
 
-def common_windows(strings: DataFrame, share: float, least: int = 200) -> tuple[np.ndarray, int]:
-    """(bitmap of hashed windows that stand in more than share of the records, number of records).
-
-    The share is least / records if that is more: what so few records have fills no hot band. A partition sends BUCKETS
-    counts at most; what comes to the driver is bounded by mean length / share. The miss bound holds for any choice.
-    """
-    n = strings.count()
+def window_counts(strings: DataFrame) -> np.ndarray:
+    """In how many records each of BUCKETS hashed windows stands. Partitions and the driver get BUCKETS counts at most."""
     counts = strings.mapInArrow(_window_counts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    bitmap = np.zeros(BUCKETS, bool)
-    bitmap[[r["bucket"] for r in counts.filter(F.col("n") > max(share * n, least)).collect()]] = True
-    return bitmap, n
+    got = counts.toPandas()
+    out = np.zeros(BUCKETS, np.int64)
+    out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out
+
+
+def common_windows(counts: np.ndarray, records: int, share: float) -> np.ndarray:
+    """Bitmap of hashed windows that stand in more than share of the records. The miss bound holds for any choice."""
+    return counts > share * records
 
 
 def further_blocks(share: np.ndarray, similarity: float, bands: int, width: int) -> np.ndarray:
@@ -233,6 +238,29 @@ def _bands(bitmap: np.ndarray, similarity: float, bands: int, width: int):
     return run
 
 
+def _rarest(counts: np.ndarray, num: int, den: int):
+    """A key for each of a record's rarest windows, as many as a record of similarity num / den cannot miss all of."""
+    rank = np.zeros(BUCKETS, np.int32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.int32)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
+                ids = part.column(1).to_numpy()
+                w, row = windows(*unpack(part.column(0)))
+                once = _once((row.astype(np.uint64) << np.uint64(40)) | w)
+                w, row = once & np.uint64(2**40 - 1), (once >> np.uint64(40)).astype(np.int64)
+                order = np.lexsort((w, rank[bucket(w)], row))
+                w, row = w[order], row[order]
+                size = np.bincount(row, minlength=len(ids))
+                place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                first = place <= (size - -(-size * num // den))[row]
+                yield pa.RecordBatch.from_arrays([pa.array(mix64(w[first]).view(np.int64)), pa.array(ids[row[first]])], names=["band", "id"])
+
+    return run
+
+
 def _pairs(batches):
     """Candidate pairs (a, b) of every band with 2 to HOT records; a longer band's records as (id, null, band)."""
 
@@ -263,6 +291,8 @@ def _pairs(batches):
     hot_key = None
     for batch in batches:
         k, i = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(k):
+            continue
         if hot_key is not None:  # the band that ran on from the batch before is a hot one: its records pass through
             n = int(np.searchsorted(k, hot_key, "right"))
             yield pa.RecordBatch.from_arrays([pa.array(i[:n]), pa.nulls(n, pa.int64()), pa.array(k[:n])], names=["a", "b", "band"])
@@ -304,31 +334,55 @@ def _verify(num: int, den: int):
     return run
 
 
-def similar_pairs(df: DataFrame, key: str = "entry_id", text: str = "sequence", similarity: float = 0.6, bands: int = 24, width: int = 3, common: float = 0.02) -> DataFrame:
-    """(entry_a, entry_b, similarity): every pair of distinct nucleotide strings, each by its smallest id, that is at least so similar."""
-    spark = df.sparkSession
-    n = stage_partitions(spark)
+def _met(keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) of the keys with HOT records at most, records (band, id) of the others)."""
+    spread = keys.repartition(stage_partitions(keys.sparkSession), "band").sortWithinPartitions("band")
+    found = table(spread.mapInArrow(_pairs, "a bigint, b bigint, band bigint"), name)
+    return found.filter("b is not null").select("a", "b"), found.filter("b is null").select("band", F.col("a").alias("id"))
+
+
+def _by_rarest(strings: DataFrame, counts: np.ndarray, similarity: Fraction) -> DataFrame:
+    """(a, b): every pair of similarity or more, and others."""
+    pairs, dense = _met(strings.mapInArrow(_rarest(counts, similarity.numerator, similarity.denominator), "band bigint, id bigint"), "rarest")
+    if dense.isEmpty():
+        return pairs
+    other = dense.select("band", F.col("id").alias("b"))
+    return pairs.unionByName(dense.join(other.hint("merge"), "band").filter("id < b").select(F.col("id").alias("a"), "b"))
+
+
+def similar_pairs(
+    df: DataFrame, key: str = "entry_id", text: str = "sequence", similarity: float = 0.6, bands: int = 30, width: int = 3, common: float = 0.02, exact: bool = False
+) -> DataFrame:
+    """(entry_a, entry_b, similarity): every pair of distinct nucleotide strings, each by its smallest id, that is at least so similar.
+
+    exact: no sketches and no missed pairs, at several times the cost. common: the share of the records from which on a
+    window is left out of the sketches; 1 leaves none out.
+    """
+    least = Fraction(str(similarity))
     strings = table(distinct_strings(df, key, text), "strings")
-    bitmap, _ = common_windows(strings, common)
-    banded = strings.mapInArrow(_bands(bitmap, similarity, bands, width), "band bigint, id bigint")
-    found = table(banded.repartition(n, "band").sortWithinPartitions("band").mapInArrow(_pairs, "a bigint, b bigint, band bigint"), "candidates")
-    pairs = found.filter("b is not null").select("a", "b")
-    hot = found.filter("b is null").select("band", F.col("a").alias("id"))
-    if not hot.isEmpty():
-        other = hot.select("band", F.col("id").alias("b"))
-        pairs = pairs.unionByName(hot.join(other.hint("merge"), "band").filter("id < b").select(F.col("id").alias("a"), "b"))
+    counts = window_counts(strings)
+    if exact:
+        pairs = _by_rarest(strings, counts, least)
+    else:
+        banded = strings.mapInArrow(_bands(common_windows(counts, strings.count(), common), similarity, bands, width), "band bigint, id bigint")
+        pairs, hot = _met(banded, "candidates")
+        if not hot.isEmpty():
+            some = strings.join(hot.select(F.col("id").alias("entry_id")).distinct(), "entry_id", "left_semi").select("packed", "entry_id")
+            pairs = pairs.unionByName(_by_rarest(some, counts, least))
     pairs = pairs.distinct()
     left = strings.select(F.col("entry_id").alias("a"), F.col("packed").alias("pa"))
     right = strings.select(F.col("entry_id").alias("b"), F.col("packed").alias("pb"))
-    exact = Fraction(str(similarity))
     return (
         pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb")
-        .mapInArrow(_verify(exact.numerator, exact.denominator), "entry_a bigint, entry_b bigint, similarity double")
+        .mapInArrow(_verify(least.numerator, least.denominator), "entry_a bigint, entry_b bigint, similarity double")
     )
 
 
 def similar_groups(df: DataFrame, key: str = "entry_id", text: str = "sequence", **options) -> DataFrame:
-    """(entry_id, group_id): every row with nucleotides and the smallest id among those it is linked to, over any chain of links."""
+    """(entry_id, group_id): every row with nucleotides and the smallest id among those it is linked to, over any chain of links.
+
+    Rows that repeat an id come out as often as they came in; their texts should be alike, or one of them decides.
+    """
     from ampliq.llm.duplicates import duplicate_entries
     from ampliq.operators.components import connected_components
 
@@ -336,7 +390,7 @@ def similar_groups(df: DataFrame, key: str = "entry_id", text: str = "sequence",
     of = connected_components(links, "entry_a", "entry_b").select(F.col("node").alias("rep"), F.col("component").alias("group_id"))
     copies = table(duplicate_entries(df, key, text), "copies")
     reps = copies.groupBy("sequence_md5").agg(F.min("entry_id").alias("rep"))
-    rep_of = copies.join(reps, "sequence_md5").select("entry_id", "rep")
+    rep_of = copies.join(reps, "sequence_md5").groupBy("entry_id").agg(F.min("rep").alias("rep"))
     with_letters = df.select(F.col(key).cast("bigint").alias("entry_id")).filter(F.col(text).rlike("[A-Za-z]"))
     return (
         with_letters.join(rep_of, "entry_id", "left").withColumn("rep", F.coalesce("rep", "entry_id"))

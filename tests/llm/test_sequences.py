@@ -92,6 +92,9 @@ def test_similar(spark, monkeypatch):
     assert set(groups) == {i for i, s, _ in rows if letters(s)} and groups[203] == 202 and groups[206] == groups[0]
     assert all(groups[a] == groups[b] for a, b in want)
     assert similar_pairs(df.limit(0)).count() == 0
+    assert {(r["entry_a"], r["entry_b"]) for r in similar_pairs(df, exact=True).collect()} == want
+    monkeypatch.setattr(similar, "HOT", 5)
+    assert {(r["entry_a"], r["entry_b"]) for r in similar_pairs(df).collect()} == want
 
 
 @pytest.mark.parametrize("conserved, edits", [(70, 5), (45, 4)])
@@ -119,8 +122,8 @@ def test_common_windows_are_a_share_of_the_records(spark):
     strings = similar.distinct_strings(table(spark, rows))
     at = similar.bucket(similar.windows(np.frombuffer(b"GATTACAGACGTACGT", np.uint8) - 64, np.array([0, 8, 16]))[0])
     for n in (1, 7):
-        bitmap, records = similar.common_windows(strings.repartition(n), 0.02, least=0)
-        assert records == 300 and bitmap[at].tolist() == [True, False]
+        bitmap = similar.common_windows(similar.window_counts(strings.repartition(n)), 300, 0.02)
+        assert bitmap[at].tolist() == [True, False]
 
 
 def test_hot_bands_give_the_same_pairs():
