@@ -14,13 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampliq.functions.bytescan import flat, row_sums, rows_of
+from ampliq.functions.bytescan import binary_column, flat, row_sums, rows_of
 
 FIELDS = ("lineno", "header", "missingabundance", "sequence", "sample")
 
 
-def index_lines(column, width: int) -> tuple[np.ndarray, np.ndarray, list[list[bytes | None]]]:
-    """(quoting is sound, number of fields, the first width fields without their quotes) of each line."""
+def index_lines(column, width: int) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """(quoting is sound, number of fields, the first width fields without their quotes) of each line.
+
+    Fields are null in lines that are unsound or of another width.
+    """
     data, offsets, _ = flat(column)
     n = len(offsets) - 1
     begin, end = offsets[:-1].copy(), offsets[1:].copy()
@@ -28,43 +31,44 @@ def index_lines(column, width: int) -> tuple[np.ndarray, np.ndarray, list[list[b
     end[some[data[end[some] - 1] == 13]] -= 1  # one carriage return at the end
     row = rows_of(offsets)
     quote = data == 34
-    before = np.cumsum(quote) - quote
-    parity = (before - (before[np.minimum(begin, max(0, len(data) - 1))] if len(data) else 0)[row] if len(data) else before) & 1
+    total = np.concatenate(([0], np.cumsum(quote)))  # quotes before each byte
+    parity = (total[:-1] - total[begin][row]) & 1
     comma = np.flatnonzero((data == 44) & (parity == 0))
     fields = np.bincount(row[comma], minlength=n) + 1
     # limits of all fields, in order
+    owner = np.concatenate((np.arange(n), row[comma]))
     starts = np.concatenate((begin, comma + 1))
+    starts = starts[np.lexsort((starts, owner))]
     stops = np.concatenate((comma, end))
-    owner = np.concatenate((np.arange(n), row[comma]))
-    order = np.lexsort((starts, owner))
-    starts, owner = starts[order], owner[order]
     stops = stops[np.lexsort((stops, np.concatenate((row[comma], np.arange(n)))))]
     limits = np.concatenate(([0], np.cumsum(fields)))
-    # quotes by field
-    total = np.concatenate(([0], np.cumsum(quote)))
+    # quotes by field: none, or one at either end and pairs between them
     held = total[stops] - total[starts]
     opened = held > 0
-    first = np.where(opened, data[np.minimum(starts, max(0, len(data) - 1))] == 34, True) if len(data) else np.ones(len(starts), bool)
-    last = np.where(opened, data[np.maximum(stops - 1, 0)] == 34, True) if len(data) else np.ones(len(starts), bool)
-    sound = first & last & (held % 2 == 0)
+    edge = lambda at: np.where(opened, data[np.clip(at, 0, max(0, len(data) - 1))] == 34, True) if len(data) else np.ones(len(starts), bool)
+    sound = edge(starts) & edge(stops - 1) & (held % 2 == 0)
     at = np.flatnonzero(quote)
-    if len(at):
-        field_of = np.searchsorted(starts, at, "right") - 1
-        place = np.arange(len(at)) - total[starts[field_of]]
-        inside = (place % 2 == 0) & (place > 0)
-        gap = np.zeros(len(at), bool)
-        gap[1:] = at[1:] - at[:-1] != 1
-        sound[field_of[inside & gap]] = False
+    field_of = np.searchsorted(starts, at, "right") - 1
+    place = np.arange(len(at)) - total[starts[field_of]] if len(at) else at
+    apart = np.append(True, at[1:] - at[:-1] != 1)[: len(at)]
+    sound[field_of[(place % 2 == 0) & (place > 0) & apart]] = False
     good = row_sums((~sound).astype(np.int64), limits) == 0
-    raw = data.tobytes()
-    out: list[list[bytes | None]] = [[None] * n for _ in range(width)]
+    # of a sound field's quotes the second of each pair stays
+    kept = np.ones(len(data), bool)
+    kept[at[(place % 2 == 1) | (place == 0)]] = False
     whole = np.flatnonzero(good & (fields == width))
+    to = np.full(n, -1, np.int64)
+    to[whole] = np.arange(len(whole))
+    to = pa.array(to, mask=to < 0)
+    out = []
     for k in range(width):
         f = limits[whole] + k
-        q = opened[f]
-        for r, a, b, inner in zip(whole.tolist(), (starts[f] + q).tolist(), (stops[f] - q).tolist(), (held[f] > 2).tolist()):
-            text = raw[a:b]
-            out[k][r] = text.replace(b'""', b'"') if inner else text
+        size = stops[f] - starts[f]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        byte = np.repeat(starts[f] - ends[:-1], size) + np.arange(ends[-1])
+        stay = kept[byte]
+        cut = np.concatenate(([0], np.cumsum(stay)))[ends]
+        out.append(binary_column(data[byte[stay]], cut).cast(pa.string()).take(to))
     return good, fields, out
 
 
@@ -72,8 +76,7 @@ def _index(width: int):
     def run(batches):
         for batch in batches:
             good, fields, out = index_lines(batch.column(0), width)
-            cols = [pa.array(x, pa.binary()).cast(pa.string()) for x in out]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good), pa.array(fields.astype(np.int32)), *cols], names=[*batch.schema.names, "_sound", "_fields", *[f"_{k}" for k in range(width)]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good), pa.array(fields.astype(np.int32)), *out], names=[*batch.schema.names, "_sound", "_fields", *[f"_{k}" for k in range(width)]])
 
     return run
 
