@@ -13,7 +13,7 @@ the budget by that group, as by part of one document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampliq.llm.tokens import VOCABULARY, token_sizes
@@ -24,47 +24,46 @@ WIDTH = 60
 MAX_SOURCES = 10_000
 
 
-def _histogram(rows: DataFrame, at: dict[str, int], level: int) -> dict[str, list[tuple[int, int, int]]]:
-    """(bucket, tokens, documents) by source, ascending; below the top level only inside each source's boundary bucket."""
+def _boundaries(rows: DataFrame, left: dict[str, int], at: dict[str, int], level: int) -> dict[str, tuple[int, int, int, int]]:
+    """By source the bucket in which its tokens pass what is left: (bucket, tokens before it, its tokens, its documents).
+
+    The histogram, of 2**BITS buckets a source, stays on the executors; one row a source comes to the driver. A source
+    that never passes is not there. Below the top level only the last boundary bucket of a source is looked into.
+    """
     low = WIDTH - BITS * (level + 1)
-    rows = rows.filter(F.col("source").isin(list(at)))
+    facts = rows.sparkSession.createDataFrame([(s, n, at[s]) for s, n in left.items()], "source string, left bigint, inside bigint")
+    own = rows.join(F.broadcast(facts), "source")  # MAX_SOURCES rows at most
     if level:
-        inside = F.create_map(*[x for s, b in at.items() for x in (F.lit(s), F.lit(b).cast("bigint"))])
-        rows = rows.filter(F.shiftright("h", low + BITS) == inside[F.col("source")])
-    got = rows.groupBy("source", F.shiftright("h", low).alias("b")).agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("docs")).collect()
-    out: dict[str, list[tuple[int, int, int]]] = {s: [] for s in at}
-    for r in sorted(got, key=lambda r: r["b"]):
-        out[r["source"]].append((r["b"], r["n"], r["docs"]))
-    return out
+        own = own.filter(F.shiftright("h", low + BITS) == F.col("inside"))
+    bars = own.groupBy("source", "left", F.shiftright("h", low).alias("b")).agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("docs"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("b")) - F.col("n")
+    passing = bars.withColumn("before", before).filter(F.col("before") + F.col("n") > F.col("left"))
+    got = passing.groupBy("source").agg(F.min(F.struct("b", "before", "n", "docs")).alias("x")).select("source", "x.*").collect()
+    return {r["source"]: (r["b"], r["before"], r["n"], r["docs"]) for r in got}
 
 
 def _thresholds(rows: DataFrame, rest: dict[str, int]) -> dict[str, int]:
-    """For each source the hash under which documents add up to its rest, as near as whole documents allow.
-
-    A level brings at most 2**BITS rows a listed source to the driver.
-    """
+    """For each source the hash under which documents add up to its rest, as near as whole documents allow."""
     found = {s: 0 for s, n in rest.items() if n <= 0}
     left = {s: n for s, n in rest.items() if n > 0}
     at = dict.fromkeys(left, 0)
     for level in range(WIDTH // BITS):
-        if not at:
+        if not left:
             break
         low = WIDTH - BITS * (level + 1)
-        for s, buckets in _histogram(rows, at, level).items():
-            found[s] = (at[s] + 1) << (low + BITS)  # unless a bucket is too large, all are taken
-            inner = None
-            for b, n, docs in buckets:
-                if n <= left[s]:
-                    left[s] -= n
-                    continue
-                last = docs == 1 or not low
-                found[s] = (b + (last and 2 * left[s] >= n)) << low
-                inner = None if last or not left[s] else b
-                break
-            if inner is None:
-                del at[s]
-            else:
-                at[s] = inner
+        passed = _boundaries(rows, left, at, level)
+        for s in list(left):
+            if s not in passed:  # all of it is taken
+                found[s] = (at[s] + 1) << (low + BITS)
+                del left[s]
+                continue
+            b, before, n, docs = passed[s]
+            left[s] -= before
+            last = docs == 1 or not low
+            found[s] = (b + (last and 2 * left[s] >= n)) << low
+            at[s] = b
+            if last or not left[s]:
+                del left[s]
     return found
 
 
@@ -86,7 +85,8 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, **c
     if len(goal) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources are listed")
     rows = sized(documents, **columns)
-    listed = rows.filter(F.col("source").isin(list(goal)) & (F.col("tokens") > 0))
+    names = spark.createDataFrame([(s,) for s in goal], "source string")
+    listed = rows.filter(F.col("tokens") > 0).join(F.broadcast(names), "source", "left_semi")  # MAX_SOURCES rows at most
     have = {r["source"]: r["n"] for r in listed.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     live = {s: g for s, g in goal.items() if have.get(s, 0) > 0 and g[0] > 0 and g[1] > 0}
     weight = sum(g[0] for g in live.values())
@@ -96,10 +96,9 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, **c
     wanted = {s: min(have[s] * g[1], round(total * g[0] / weight)) for s, g in live.items()}
     passes = {s: w // have[s] for s, w in wanted.items()}
     under = _thresholds(listed, {s: wanted[s] - passes[s] * have[s] for s in live}) if live else {}
-    whole = F.create_map(*[x for s in live for x in (F.lit(s), F.lit(int(passes[s])))]) if live else F.create_map().cast("map<string,int>")
-    level = F.create_map(*[x for s in live for x in (F.lit(s), F.lit(under[s]).cast("bigint"))]) if live else F.create_map().cast("map<string,bigint>")
-    copies = whole[F.col("source")] + (F.col("h") < level[F.col("source")]).cast("int")
-    selection = listed.withColumn("copies", copies.cast("int")).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
+    cuts = spark.createDataFrame([(s, int(passes[s]), int(under[s])) for s in live], "source string, whole int, level bigint")
+    copies = F.col("whole") + (F.col("h") < F.col("level")).cast("int")
+    selection = listed.join(F.broadcast(cuts), "source").withColumn("copies", copies.cast("int")).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
     taken = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("selected_tokens"))
     facts = spark.createDataFrame([(s, g[0], g[1], int(have.get(s, 0))) for s, g in goal.items()], "source string, target_share double, max_repeats int, available_tokens bigint")
     every = F.broadcast(taken.agg(F.sum("selected_tokens").alias("all_tokens")).withColumn("one", F.lit(1)))
