@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import getopt
+import re
 import sys
 
 from pyspark.sql import SparkSession
@@ -11,7 +12,7 @@ from ampliq import __version__
 from ampliq.plans.options import AmpliconError, Options
 from ampliq.plans.run import Run
 from ampliq.sinks.text import write_file
-from ampliq.sources.fasta import read_fasta
+from ampliq.sources.fasta import line_of, read_fasta
 
 _LONG = {
     "d": "differences=", "n": "no-otu-breaking", "f": "fastidious", "b": "boundary=", "c": "ceiling=", "y": "bloom-bits=", "a": "append-abundance=", "z": "usearch-abundance",
@@ -45,8 +46,8 @@ def options(given: dict[str, str]) -> Options:
     for k, name in _FIELDS.items():
         if k in given:
             try:
-                values[name] = int(given[k])
-            except ValueError:
+                values[name] = int(re.fullmatch(r"[+-]?[0-9]+", given[k])[0])
+            except TypeError:
                 raise AmpliconError(f"invalid number for -{k}: {given[k]}") from None
     values |= {name: True for k, name in _FLAGS.items() if k in given}
     return Options(breaking="n" not in given, network="j" in given, **values).checked()
@@ -60,7 +61,11 @@ def main(args: list[str]) -> int:
             return 0
         chosen = options(given)
         spark = SparkSession.builder.appName("ampliq").getOrCreate()
-        run = Run(read_fasta(spark, files or ["-"]).select("header", "sequence"), chosen)
+        try:
+            run = Run(read_fasta(spark, files or ["-"]).select("header", "sequence"), chosen)
+        except AmpliconError as e:
+            at = line_of(spark, files, e.header) if e.header is not None and files and files != ["-"] else None
+            raise AmpliconError(f"{e}, {at[0]}, line {at[1]}") from None if at else e
         write_file(run, "mothur" if "r" in given else "clusters", given.get("o", "-"))
         for letter, output in _FILES.items():
             if letter in given:

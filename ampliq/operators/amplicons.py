@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ampliq.functions.headers import annotate, printed
@@ -35,12 +35,28 @@ def parse_entries(entries: DataFrame, options: Options) -> DataFrame:
     )
 
 
+def repeats(parsed: DataFrame, column: str) -> DataFrame:
+    """(column, entries): the ids (or sequences) that more than one entry has."""
+    return parsed.groupBy(column).agg(F.count(F.lit(1)).alias("entries")).filter("entries > 1")
+
+
+def missing(parsed: DataFrame) -> DataFrame:
+    """One row: entries without an abundance, and the first of their headers."""
+    none = F.col("abundance").isNull() & F.col("fault").isNull()
+    return parsed.agg(F.count(F.when(none, 1)).alias("entries"), F.min(F.when(none, F.col("header"))).alias("first"))
+
+
+def variants(sequence: Column) -> Column:
+    """How many sequences are one edit away: 3 a letter to replace, 3 a letter and 4 to add, one a run of letters to drop."""
+    return 6 * F.length(sequence) + 4 + F.length(F.regexp_replace(sequence, r"(.)\1*", "x"))
+
+
 def check(parsed: DataFrame, options: Options) -> None:
     """AmpliconError if an entry is unsound, or a label, a sequence (d > 0) repeats, or an abundance is missing."""
     missing = F.col("abundance").isNull() & F.col("fault").isNull()
     seen = parsed.agg(F.min(F.when(F.col("fault").isNotNull(), F.struct("fault", "header"))).alias("bad"), F.count(F.when(missing, 1)).alias("n"), F.min(F.when(missing, F.col("header"))).alias("first")).first()
     if seen["bad"]:
-        raise AmpliconError(f"{seen['bad']['fault']}: {seen['bad']['header'][:80]}")
+        raise AmpliconError(f"{seen['bad']['fault']}: {seen['bad']['header'][:80]}", seen["bad"]["header"])
     keys = [F.struct(F.lit(0).alias("kind"), F.col("id").alias("key"))] + ([F.struct(F.lit(1).alias("kind"), F.md5("sequence").alias("key"))] if options.d > 0 else [])
     twice = parsed.select(F.explode(F.array(*keys)).alias("k")).groupBy("k.kind", "k.key").count().filter("count > 1").agg(F.min(F.struct("kind", "key")).alias("k")).first()["k"]
     if twice and twice["kind"] == 0:
@@ -48,7 +64,7 @@ def check(parsed: DataFrame, options: Options) -> None:
     if twice:
         raise AmpliconError("some sequences are not unique: dereplicate the input first, with d = 0")
     if options.default_abundance is None and seen["n"]:
-        raise AmpliconError(f"abundance annotations not found for {seen['n']} sequences, among them {seen['first'][:80]}")
+        raise AmpliconError(f"abundance annotations not found for {seen['n']} sequences, among them {seen['first'][:80]}", seen["first"])
 
 
 def amplicons(entries: DataFrame, options: Options = Options(), validate: bool = True) -> DataFrame:

@@ -11,8 +11,9 @@ SIZES = (30.0, 70.0)
 
 
 def read_cluster(spark: SparkSession, path: str, number: int) -> DataFrame:
-    """(amplicon, abundance) of line number (from 1) of a cluster list; headers end in _N or ;size=N;."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    """(amplicon, abundance) of line number (from 1) of a cluster list, a file or a folder whose files follow by name;
+    headers end in _N or ;size=N;."""
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
     line = lines.orderBy("at").offset(number - 1).limit(1)
     item = line.select(F.explode(F.split(F.trim("value"), " ")).alias("x")).filter("x <> ''")
     plain = F.regexp_replace(F.replace("x", F.lit(";size="), F.lit("_")), r";+\z", "")

@@ -7,7 +7,11 @@ from dataclasses import dataclass
 
 
 class AmpliconError(ValueError):
-    """Input or options that a run refuses."""
+    """Input or options that a run refuses. header: that of the entry at fault, if it is one."""
+
+    def __init__(self, why: str, header: str | None = None):
+        super().__init__(why)
+        self.header = header
 
 
 @dataclass(frozen=True)

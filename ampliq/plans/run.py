@@ -148,11 +148,22 @@ class Run:
         return dense_order(found.select("mass", "root", "own_header", plain.alias("header"), "sequence"), F.col("mass").desc(), second.asc()).select("ord", "header", "sequence")
 
     def log(self) -> DataFrame:
-        """(measure, value): counters of the run."""
-        one = amplicons_.summary(self.amplicons).withColumn("k", F.lit(1))
-        row = one.join(clustering.totals(self.clusters).withColumn("k", F.lit(1)), "k")
-        row = row.join(clustering.weights(self.first_clusters, self.options.limit).withColumn("k", F.lit(1)), "k")
-        row = row.join(self.grafts.agg(F.count(F.lit(1)).alias("grafts")).withColumn("k", F.lit(1)), "k").drop("k")
+        """(measure, value): counters of the run; with the fastidious pass those of before it, of what it tries, and its grafts."""
+        parts = [amplicons_.summary(self.amplicons), clustering.totals(self.clusters)]
+        if self.options.fastidious:
+            of = self.first_members.join(self.first_clusters.select("root", (F.col("mass") < self.options.limit).alias("light")), "root").select("ord", "light")
+            tried = of.join(self.amplicons.select("ord", amplicons_.variants(F.col("sequence")).alias("v")), "ord")
+            count = lambda c: F.coalesce(F.sum(F.when(c, F.col("v"))), F.lit(0))
+            before = clustering.totals(self.first_clusters)
+            parts += [
+                before.select(*[F.col(c).alias(f"{c}_before") for c in before.columns]), clustering.weights(self.first_clusters, self.options.limit),
+                tried.agg(count(F.col("light")).alias("light_variants"), count(~F.col("light")).alias("heavy_variants")),
+                self.graft_candidates.agg(F.count(F.lit(1)).alias("graft_candidates")), self.grafts.agg(F.count(F.lit(1)).alias("grafts")),
+            ]
+        row = parts[0].withColumn("k", F.lit(1))
+        for p in parts[1:]:
+            row = row.join(p.withColumn("k", F.lit(1)), "k")
+        row = row.drop("k")
         return row.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, row.columns)), F.array(*[F.col(c).cast("bigint") for c in row.columns]))).alias("measure", "value"))
 
 

@@ -50,8 +50,21 @@ def seed_lines(run: Run) -> tuple[DataFrame, list[str]]:
     return run.seeds().select("ord", F.concat(F.lit(">"), "header", F.lit("\n"), "sequence").alias("value")), ["ord"]
 
 
+#: What a log line says of each measure, in the log's order.
+MEASURES = {
+    "nucleotides": "Nucleotides read", "sequences": "Sequences read", "longest": "Longest sequence",
+    "clusters_before": "Clusters before grafting", "largest_before": "Largest cluster before grafting", "heaviest_before": "Heaviest cluster before grafting", "generations_before": "Most generations before grafting",
+    "heavy_clusters": "Heavy clusters", "heavy_amplicons": "Amplicons in heavy clusters", "light_clusters": "Light clusters", "light_amplicons": "Amplicons in light clusters",
+    "light_nucleotides": "Nucleotides in light clusters", "light_variants": "Microvariants of light amplicons", "heavy_variants": "Microvariants of heavy amplicons",
+    "graft_candidates": "Graft candidates", "grafts": "Grafts made",
+    "clusters": "Clusters", "largest": "Largest cluster", "heaviest": "Heaviest cluster", "generations": "Most generations",
+}
+
+
 def log_lines(run: Run) -> tuple[DataFrame, list[str]]:
-    return run.log().select("measure", _tabbed("measure", "value").alias("value")), ["measure"]
+    names = F.create_map(*[F.lit(x) for k, (m, said) in enumerate(MEASURES.items()) for x in (m, f"{k:02d}{said}")])
+    rows = run.log().withColumn("said", names[F.col("measure")])
+    return rows.select(F.substring("said", 1, 2).alias("place"), F.concat(F.substring("said", 3, 99), F.lit(": "), F.col("value").cast("string")).alias("value")), ["place"]
 
 
 OUTPUTS = {"clusters": cluster_lines, "mothur": mothur_lines, "structure": structure_lines, "network": network_lines, "statistics": statistics_lines, "uclust": hit_lines, "seeds": seed_lines, "log": log_lines}
