@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ampliq.functions.headers import annotate
 from ampliq.operators import clustering, contingency, graph, neighbours
-from ampliq.operators.amplicons import summary
+from ampliq.operators.amplicons import missing, parse_entries, repeats, summary
 from ampliq.plans.run import Run, run
-from ampliq.plans.scratch import shared_dir, table
+from ampliq.plans.scratch import new_path, table
+from ampliq.sinks.text import OUTPUTS, write_contingency, write_directory
 from ampliq.sources import rejects
-from ampliq.sources.fasta import read_fasta
+from ampliq.plans.options import Options
+from ampliq.sources.fasta import read_fasta, read_samples
 from ampliq.streaming.dereplicate import dereplicate_folder
 
 
@@ -52,15 +54,20 @@ def p4_rows(spark, d):
     return rejects.valid_entries(_t(spark, d, "raw_entries"))
 
 
-def fasta_scan(spark, d):
+def fasta_scan(spark, d, packed=False):
     """db written as FASTA text with lower-case, wrapped sequences, then read."""
     rows = raw_entries_of_db(spark, d)
     text = F.concat(F.lit(">"), "header", F.lit(" note\n"), F.regexp_replace(F.lower("sequence"), "(.{60})", "$1\r\n"))
-    path = f"{table(rows.select(text.alias('value')), 'text').inputFiles()[0].rsplit('/', 1)[0]}-fasta"
-    rows.select(text.alias("value")).write.mode("overwrite").text(path)
+    path = new_path(spark, "fasta")
+    rows.select(text.alias("value")).write.option("compression", "gzip" if packed else "none").text(path)
     return read_fasta(spark, path).select("header", "sequence")
 
 
+def fasta_scan_compressed(spark, d):
+    """The same by way of compressed files."""
+    return fasta_scan(spark, d, True)
+
+
 def _annotated(spark, d, usearch):
     return annotate(_t(spark, d, "db").select("entry_id", "header"), usearch).select("entry_id", "found", "number", "id", "label")
 
@@ -105,6 +112,91 @@ def _cells(r: Run) -> DataFrame:
     return r.hits().select(*[f"c{i}" for i in range(1, 11)])
 
 
+def _stored(spark, d):
+    """(header, sequence) of db as they stand, but for white space and line ends in sequences."""
+    return _t(spark, d, "db").select("header", F.regexp_replace("sequence", r"\s+", "").alias("sequence"))
+
+
+def entry_faults(spark, d):
+    """Entries of db by what a run would refuse them for; null: nothing."""
+    return parse_entries(_stored(spark, d), Options()).groupBy("fault").agg(F.count(F.lit(1)).alias("entries"))
+
+
+def repeated_ids(spark, d):
+    return repeats(parse_entries(_stored(spark, d), Options()), "id")
+
+
+def repeated_sequences(spark, d):
+    return repeats(parse_entries(_stored(spark, d), Options()), "sequence").select(F.md5("sequence").alias("sequence_md5"), "entries")
+
+
+def missing_abundances(spark, d):
+    return missing(parse_entries(_stored(spark, d), Options()))
+
+
+def _annotated_entries(spark, d, plain):
+    """Raw entries; those with no abundance in db have none in their header."""
+    n = F.coalesce("abundance", F.lit(0)).cast("string")
+    with_it = F.concat(F.lit("e"), "entry_id", F.lit("_"), n) if plain else F.concat(F.lit("e"), "entry_id", F.lit(";size="), n, F.lit(";x"))
+    header = F.when(F.col("abundance") > 0, with_it).otherwise(F.concat(F.lit("e"), "entry_id"))
+    return _letters(_t(spark, d, "db")).select(header.alias("header"), F.col("n").alias("sequence"))
+
+
+def default_abundance(spark, d):
+    """Entries without an abundance get 7, which their header then shows."""
+    return run(_annotated_entries(spark, d, True), d=0, default_abundance=7).amplicons.select("ord", "shown", "label", "abundance")
+
+
+def usearch_order(spark, d):
+    return run(_annotated_entries(spark, d, False), d=0, default_abundance=7, usearch=True).amplicons.select("ord", "shown", "id", "label", "abundance")
+
+
+def usearch_seeds(spark, d):
+    """Seeds whose headers show the cluster's mass in place of their own abundance, before what follows it."""
+    return run(_annotated_entries(spark, d, False), d=0, default_abundance=7, usearch=True).seeds()
+
+
+def multi_sample(spark, d):
+    """db written as FASTA, a folder a sample, and read as amplicons by samples."""
+    value = F.concat(F.lit(">"), F.substring(F.md5("n"), 1, 16), F.lit(";size="), F.coalesce("abundance", F.lit(1)).cast("string"), F.lit(";\n"), "n")
+    path = new_path(spark, "samples")
+    _letters(_t(spark, d, "db")).filter("file_id is not null").select("file_id", value.alias("value")).write.partitionBy("file_id").text(path)
+    rows, _ = read_samples(spark, [path], r"file_id=([0-9]+)/")
+    return contingency.long_table(contingency.observations(rows))
+
+
+def contingency_file(spark, d):
+    """The pivot written as tab-separated text and read again."""
+    path = new_path(spark, "contingency")
+    write_contingency(contingency.contingency(_observed(spark, d)), path)
+    return spark.read.csv(path, sep="\t", header=True, quote="")
+
+
+def structure_file_d1(spark, d):
+    """The structure written as text and read again."""
+    path = new_path(spark, "structure")
+    write_directory(_run(spark, d), "structure", path)
+    return graph.read_structure(spark, path)
+
+
+def cluster_file_d1(spark, d):
+    """The third cluster of the list written as text."""
+    path = new_path(spark, "list")
+    write_directory(_run(spark, d), "clusters", path)
+    return graph.read_cluster(spark, path, 3)
+
+
+def output_lines_fastidious(spark, d):
+    """Lines of every output as written."""
+    r, path = _run(spark, d, fastidious=True), new_path(spark, "outputs")
+    counted = None
+    for name in OUTPUTS:
+        write_directory(r, name, f"{path}/{name}")
+        one = spark.read.text(f"{path}/{name}").agg(F.lit(name).alias("output"), F.count(F.lit(1)).alias("n_lines"))
+        counted = one if counted is None else counted.unionByName(one)
+    return counted
+
+
 def microvariant_counts(spark, d):
     amps = _run(spark, d).amplicons
     return neighbours.microvariants(amps).join(amps.select("ord", "label"), "ord").groupBy("label").agg(
@@ -120,6 +212,13 @@ def network_d1_nobreak(spark, d):
     return _run(spark, d, breaking=False).network().select("source", "target")
 
 
+def network_order(spark, d):
+    """The place of each row in the network output."""
+    from ampliq.operators.order import dense_order
+
+    return dense_order(_run(spark, d).network(), F.col("src").asc(), F.col("dst").asc(), name="place").select("place", "source", "target")
+
+
 def _members(r: Run) -> DataFrame:
     return r.members.select("ord", "root", "generation", "parent")
 
@@ -221,6 +320,23 @@ def uclust_d2(spark, d):
     return _cells(_run(spark, d, d=2))
 
 
+def seeds_d2(spark, d):
+    return _run(spark, d, d=2).seeds()
+
+
+def member_list_d2(spark, d):
+    return _run(spark, d, d=2).member_lists().select("cluster", "members")
+
+
+def clusters_d2_nobreak(spark, d):
+    return _members(_run(spark, d, d=2, breaking=False))
+
+
+def edges_d3(spark, d):
+    """Links of three differences with other scores."""
+    return _run(spark, d, d=3, mismatch=3).links
+
+
 def stats_d3(spark, d):
     return _run(spark, d, d=3, mismatch=3).statistics()
 
@@ -257,16 +373,23 @@ def graph_edges(spark, d):
     return _cluster_graph(spark, d)[1]
 
 
+def graph_document(spark, d):
+    """The lines of the GraphML document."""
+    return graph.graphml(*_cluster_graph(spark, d))
+
+
 def stream_dereplicate(spark, d):
     schema = "sequence string, abundance bigint"
     prepare = lambda s: _letters(s).select(F.col("n").alias("sequence"), "abundance")
-    folder = table(_t(spark, d, "db").select("sequence", "abundance").repartition(4), "arrivals").inputFiles()[0].rsplit("/", 1)[0]
+    folder = new_path(spark, "arrivals")
+    _t(spark, d, "db").select("sequence", "abundance").repartition(4).write.parquet(folder)
     return dereplicate_folder(spark, folder, schema, prepare, 2).select(F.md5("sequence").alias("sequence_md5"), "size", "mass")
 
 
 def queries() -> dict:
     every = (
-        p4_found, p4_rows, fasta_scan, abundance_plain, abundance_usearch, db_summary, amplicon_order, dereplicate_stats, dereplicate_lists, dereplicate_structure, dereplicate_seeds,
+        p4_found, p4_rows, fasta_scan, fasta_scan_compressed, entry_faults, repeated_ids, repeated_sequences, missing_abundances, default_abundance, usearch_order, usearch_seeds, multi_sample,
+        contingency_file, structure_file_d1, cluster_file_d1, output_lines_fastidious, network_order, seeds_d2, member_list_d2, clusters_d2_nobreak, edges_d3, graph_document, abundance_plain, abundance_usearch, db_summary, amplicon_order, dereplicate_stats, dereplicate_lists, dereplicate_structure, dereplicate_seeds,
         dereplicate_hits, microvariant_counts, network_d1, network_d1_nobreak, clusters_d1, clusters_d1_nobreak, stats_d1, member_list_d1, mothur_d1, structure_d1, seeds_d1, uclust_d1,
         totals_d1, light_heavy_counts, graft_candidates, grafts, stats_fastidious, structure_fastidious, member_list_fastidious, log_fastidious, qgram_bounds, edges_d2, clusters_d2,
         stats_d2, structure_d2, uclust_d2, stats_d3, contingency_long, contingency_pivot, repeated_samples, graph_nodes, graph_edges, stream_dereplicate,
@@ -295,6 +418,10 @@ _NUC = "replace(regexp_replace(upper(sequence), '[^A-Z]', '', 'g'), 'U', 'T')"
 _RAW = f"""n0 as (select entry_id, coalesce(abundance, 1) as abundance, {_NUC} as s from db),
 raw as (select 'e' || entry_id || '_' || abundance as header, 'e' || entry_id as label, abundance, s from n0 where s <> ''),
 ro as (select *, row_number() over (order by abundance desc, header) - 1 as ord from raw)"""
+_STORED = """s0 as (select header, replace(upper(regexp_replace(coalesce(sequence, ''), '\\s+', '', 'g')), 'U', 'T') as s, regexp_matches(header, '_[0-9]{0,20}$') as f from db),
+s1 as (select *, case when f then regexp_replace(header, '_[0-9]{0,20}$', '') else header end as id, case when f then regexp_extract(header, '_([0-9]*)$', 1) end as number from s0),
+st as (select *, case when s = '' then 'empty sequence' when not regexp_full_match(s, '[ACGT]+') then 'illegal character in sequence' when f and coalesce(try_cast(number as bigint), 0) <= 0 then 'illegal abundance value' when id = '' then 'empty sequence identifier' end as fault from s1)"""
+_GIVEN = f"""g0 as (select 'e' || entry_id as e, coalesce(abundance > 0, false) as given, abundance, {_NUC} as s from db), gv as (select e, given, case when given then abundance else 7 end as a, s from g0 where s <> '')"""
 _D0 = f"""{_RAW}, g as (select s, min(ord) as root, count(*) as size, cast(sum(abundance) as bigint) as mass, cast(sum(case when abundance = 1 then 1 else 0 end) as bigint) as singletons from ro group by s),
 c0 as (select *, row_number() over (order by mass desc, root) as cluster from g)"""
 _AMPS = f"""n0 as (select coalesce(abundance, 1) as abundance, {_NUC} as s from db),
@@ -303,15 +430,48 @@ amps as (select *, label || '_' || abundance as header, length(s) as len, row_nu
 _D1 = f"""{_AMPS}, dk as (select ord, s as k from amps union select ord, substr(s, 1, i - 1) || substr(s, i + 1) from (select ord, s, unnest(range(1, len + 1))::int as i from amps)),
 cand as (select distinct x.ord as a, y.ord as b from dk x join dk y on x.k = y.k and x.ord < y.ord),
 pairs as (select a, b, 1 as diff from cand join amps x on x.ord = a join amps y on y.ord = b where levenshtein(x.s, y.s) = 1)"""
-# pairs at most two edits apart, and of them those whose optimal affine alignment has at most two differences
-_D2 = f"""{_AMPS}, sg as (select ord, s, len, k, len * k // 3 as st, len * (k + 1) // 3 as en from amps, (select unnest([0, 1, 2]) as k)),
-pr as (select a.ord, n, k, substr(a.s, (n * k // 3 + sh + 1)::int, (n * (k + 1) // 3 - n * k // 3)::int) as g from (select ord, s, unnest(range(greatest(len - 2, 1), len + 3)) as n from amps) a, (select unnest([0, 1, 2]) as k), (select unnest([-2, -1, 0, 1, 2]) as sh) where n * k // 3 + sh >= 0),
+
+
+def _near(d: int) -> str:
+    """Pairs at most d edits apart: (a, b, lev, xs, ys), a before b."""
+    p, pieces, moves = d + 1, list(range(d + 1)), list(range(-d, d + 1))
+    return f"""{_AMPS}, sg as (select ord, s, len, k, len * k // {p} as st, len * (k + 1) // {p} as en from amps, (select unnest({pieces}) as k)),
+pr as (select a.ord, n, k, substr(a.s, (n * k // {p} + sh + 1)::int, (n * (k + 1) // {p} - n * k // {p})::int) as g from (select ord, s, unnest(range(greatest(len - {d}, 1), len + {p})) as n from amps) a, (select unnest({pieces}) as k), (select unnest({moves}) as sh) where n * k // {p} + sh >= 0),
 cd as materialized (select distinct least(x.ord, y.ord) as a, greatest(x.ord, y.ord) as b from sg x join pr y on y.n = x.len and y.k = x.k and y.g = substr(x.s, x.st::int + 1, (x.en - x.st)::int) where x.ord <> y.ord),
-near as materialized (select a, b, levenshtein(x.s, y.s) as lev, x.s as xs, y.s as ys from cd join amps x on x.ord = a join amps y on y.ord = b where levenshtein(x.s, y.s) <= 2),
+near as materialized (select a, b, levenshtein(x.s, y.s) as lev, x.s as xs, y.s as ys from cd join amps x on x.ord = a join amps y on y.ord = b where levenshtein(x.s, y.s) <= {d})"""
+
+
+def _align(name: str, pairs: str, costs: tuple[int, int, int], after: str) -> str:
+    """A table name (id, diff, alen, cigar) of the optimal alignments of pairs (id, q, t), with the columns of after.
+
+    A row of the matrix is made from the one before: dg ends with a pair of letters, e with a gap in q, f with one in t.
+    """
+    mm, o, x = costs
+    return f"""{name}_p as materialized ({pairs}),
+{name}_m(id, i, h, f, dg, e) as (select id, 0, list_prepend(0, list_transform(range(1, length(t) + 1), lambda j: {o} + {x} * j)), list_transform(range(1, length(t) + 1), lambda j: 1000000000::bigint), []::bigint[], []::bigint[] from {name}_p
+ union all select id, i, list_prepend({o} + {x} * i, list_transform(jj, lambda j: least(b[j + 1], e[j]))), f, dg, e from
+ (select *, list_transform(jj, lambda j: list_min(c[1:j]) + {o} + {x} * j) as e from
+ (select *, list_transform(range(0, len(jj) + 1), lambda j: b[j + 1] - {x} * j) as c from
+ (select *, list_prepend({o} + {x} * i, list_transform(jj, lambda j: least(dg[j], f[j]))) as b from
+ (select m.id, m.i + 1 as i, range(1, length(t) + 1) as jj, list_transform(range(1, length(t) + 1), lambda j: m.h[j] + case when q[m.i + 1] = t[j] then 0 else {mm} end) as dg,
+ list_transform(range(1, length(t) + 1), lambda j: least(m.h[j + 1] + {o}, m.f[j]) + {x}) as f from {name}_m m join {name}_p p on p.id = m.id where m.i < length(q)))))),
+{name}_c as materialized (select id, i, h, f, dg, e from {name}_m),
+{name}_t(id, i, j, op, ops, hits) as (select id, length(q), length(t), '', '', 0 from {name}_p
+ union all select id, i - (op <> 'I')::int, j - (op <> 'D')::int, op, op || ops, hits + (op = 'M' and q[i] = t[j])::int from
+ (select w.id, w.i, w.j, w.ops, w.hits, p.q, p.t, case when w.i = 0 then 'I' when w.j = 0 then 'D' when w.op = 'I' and m.e[w.j] < m.h[w.j + 1] + {o} then 'I' when w.op = 'D' and m.f[w.j] < m.h[w.j + 1] + {o} then 'D'
+ when m.e[w.j] = m.h[w.j + 1] then 'I' when m.f[w.j] < m.dg[w.j] then 'D' else 'M' end as op from {name}_t w join {name}_p p using (id) join {name}_c m on m.id = w.id and m.i = w.i where w.i > 0 or w.j > 0)),
+{name} as materialized (select id, length(ops) - hits as diff, length(ops) as alen,
+ array_to_string(list_transform(regexp_extract_all(ops, 'M+|I+|D+'), lambda y: case when length(y) > 1 then length(y)::varchar else '' end || y[1]), '') as cigar{after} from {name}_t join {name}_p using (id) where i = 0 and j = 0)"""
+
+
+# of pairs at most two edits apart those whose optimal affine alignment has at most two differences
+_D2 = f"""{_near(2)},
 sl as (select a, b, lev, case when length(xs) <= length(ys) then xs else ys end as p, case when length(xs) <= length(ys) then ys else xs end as q from near),
 m as (select a, b, lev, length(q) - length(p) as dl, case when length(p) = length(q) then hamming(p, q) end as h,
  case when length(q) = length(p) + 2 then list_min(list_transform(range(0, length(p) + 1), lambda i: hamming(p, substr(q, 1, i::int) || substr(q, i::int + 3)))) end as g from sl),
 pairs as materialized (select a, b, lev as diff from m where (dl = 0 and (h <= 2 or h >= 5)) or dl = 1 or (dl = 2 and g <> 1))"""
+_D3 = f"""{_near(3)}, {_align("al", "select a * 10000000 + b as id, xs as q, ys as t, a, b from near union all select b * 10000000 + a, ys, xs, b, a from near", (16, 24, 13), ", a, b")},
+pairs as materialized (select a, b, diff from al where a < b and diff <= 3)"""
 
 
 def _walk(pairs: str, breaking: bool = True) -> str:
@@ -326,8 +486,19 @@ tree as (select l.ord, l.root, g.generation, (select min(e.src) from inner_ e jo
 cl as (select root, count(*) as size, cast(sum(abundance) as bigint) as mass, cast(sum(len) as bigint) as sumlen, cast(sum(case when abundance = 1 then 1 else 0 end) as bigint) as singletons, max(generation) as maxgen from tree join amps using (ord) group by root)"""
 
 
+def _hits(walk: str, order: str) -> str:
+    """The ten columns of every cluster's C, S and H rows."""
+    return f"""with recursive {walk}, {_NUMBERED}, {_align("al", "select t.ord as id, r.s as q, m.s as t, root, m.header as hit, r.header as seed, m.len from tree t join amps m on m.ord = t.ord join amps r on r.ord = t.root where t.ord <> t.root", (18, 24, 13), ", root, hit, seed, len")},
+tops as (select cast(cluster - 1 as varchar) as c2, size, len, header from cl join num using (root) join amps on ord = root)
+select 'C' as c1, c2, cast(size as varchar) as c3, '*' as c4, '*' as c5, '*' as c6, '*' as c7, '*' as c8, header as c9, '*' as c10 from tops
+union all select 'S', c2, cast(len as varchar), '*', '*', '*', '*', '*', header, '*' from tops
+union all select 'H', cast(cluster - 1 as varchar), cast(len as varchar), printf('%.1f', 100.0::double * (alen - diff) / alen), '+', '0', '0', case when diff > 0 then cigar else '=' end, hit, seed from al join num using (root)"""
+
+
+_NUMBERED = "num as (select root, row_number() over (order by root) as cluster from cl)"
 _W1 = _walk(_D1)
 _WN = _walk(_D1, False)
+_W3 = f"""{_walk(_D3)}, rad as (select ord, 0 as radius from tree where parent is null union all select t.ord, r.radius + e.diff from tree t join rad r on r.ord = t.parent join links e on e.src = t.parent and e.dst = t.ord)"""
 _W2 = f"""{_walk(_D2)}, rad as (select ord, 0 as radius from tree where parent is null union all select t.ord, r.radius + e.diff from tree t join rad r on r.ord = t.parent join links e on e.src = t.parent and e.dst = t.ord)"""
 _F1 = f"""{_W1}, hv as (select a.ord, a.s, a.len from tree t join cl using (root) join amps a on a.ord = t.ord where mass >= 3), lt as (select a.ord, a.s, a.len from tree t join cl using (root) join amps a on a.ord = t.ord where mass < 3),
 gc as (select l.ord as child, min(h.ord) as parent from lt l join hv h on abs(h.len - l.len) <= 2 where levenshtein(h.s, l.s) <= 2 group by l.ord),
@@ -343,7 +514,6 @@ def _stats(walk: str, maxgen: str = "maxgen", radius: str = "maxgen", table_: st
 cast(singletons as bigint) as singletons, cast({maxgen} as int) as maxgen, cast({radius} as int) as maxradius from {table_} c join amps on ord = c.root"""
 
 
-_NUMBERED = "num as (select root, row_number() over (order by root) as cluster from cl)"
 _OBS = "o as (select distinct row_id, amplicon, sample, abundance from amplicon_contingency_table)"
 
 
@@ -365,6 +535,42 @@ def oracle_sql() -> dict[str, str]:
         "p4_rows": f"""with {_PARSED} select line_id, cast(f[1] as bigint) as lineno, f[2] as header, label, cast(note as bigint) as abundance,
  cast(f[3] as int) as missingabundance, replace(upper(bare), 'U', 'T') as sequence, f[5] as sample from r where reason is null""",
         "fasta_scan": f"with {_RAW} select header, s as sequence from raw",
+        "fasta_scan_compressed": f"with {_RAW} select header, s as sequence from raw",
+        "entry_faults": f"with {_STORED} select fault, count(*) as entries from st group by fault",
+        "repeated_ids": f"with {_STORED} select id, count(*) as entries from st group by id having count(*) > 1",
+        "repeated_sequences": f"with {_STORED} select md5(s) as sequence_md5, count(*) as entries from st group by s having count(*) > 1",
+        "missing_abundances": f"with {_STORED} select count(*) as entries, min(header) as first from st where not f and fault is null",
+        "default_abundance": f"with {_GIVEN} select row_number() over (order by a desc, case when given then e || '_' || a else e end) - 1 as ord, e || '_' || a as shown, e as label, a as abundance from gv",
+        "usearch_order": f"with {_GIVEN} select row_number() over (order by a desc, case when given then e || ';size=' || a || ';x' else e end) - 1 as ord, e || ';size=' || a || case when given then ';x' else ';' end as shown, e as id, e || case when given then ';x' else '' end as label, a as abundance from gv",
+        "usearch_seeds": f"""with {_GIVEN}, og as (select *, row_number() over (order by a desc, case when given then e || ';size=' || a || ';x' else e end) - 1 as o from gv), ms as (select s, cast(sum(a) as bigint) as mass, min(o) as o from og group by s)
+ select row_number() over (order by mass desc, ms.o) - 1 as ord, e || ';size=' || mass || ';' || case when given then 'x' else '' end as header, ms.s as sequence from ms join og on og.o = ms.o""",
+        "multi_sample": f"with {_RAW}, f as (select file_id, n0.abundance, n0.s from n0 join db using (entry_id) where n0.s <> '' and file_id is not null) select substr(md5(s), 1, 16) as amplicon, cast(file_id as varchar) as sample, cast(sum(abundance) as bigint) as abundance from f group by s, file_id",
+        "contingency_file": f"""with p as (pivot (select distinct row_id, amplicon, sample, abundance from amplicon_contingency_table where amplicon is not null and sample is not null) on sample using cast(cast(coalesce(sum(abundance), 0) as bigint) as varchar) group by amplicon),
+ {_OBS}, s as (select amplicon, cast(cast(coalesce(sum(abundance), 0) as bigint) as varchar) as total from o where amplicon is not null and sample is not null group by 1) select p.*, total from p join s using (amplicon)""",
+        "structure_file_d1": f"{r}{_W1}, {_NUMBERED} select p.label as parent, c.label as child, 1 as diffs, cast(cluster as int) as cluster_no, generation as steps from tree t join num using (root) join amps c on c.ord = t.ord join amps p on p.ord = t.parent",
+        "cluster_file_d1": f"{r}{_W1}, {_NUMBERED} select label as amplicon, abundance from tree t join num using (root) join amps a on a.ord = t.ord where cluster = 3",
+        "output_lines_fastidious": f"""{r}{_F1}, n as (select count(*) as n from fn), st as (select count(*) + (select count(*) from gr) as n from fin where parent is not null)
+ select 'clusters' as output, n as n_lines from n union all select 'mothur', n + 1 from n union all select 'structure', n from st union all select 'network', count(*) from links union all select 'statistics', n from n
+ union all select 'uclust', (select n from n) + count(*) from amps union all select 'seeds', 2 * n from n union all select 'log', 20""",
+        "network_order": f"{r}{_W1} select row_number() over (order by src, dst) - 1 as place, s.header as source, t.header as target from links join amps s on s.ord = src join amps t on t.ord = dst",
+        "seeds_d2": f"{r}{_W2} select row_number() over (order by mass desc, header) - 1 as ord, label || '_' || mass as header, s as sequence from cl join amps on ord = root",
+        "member_list_d2": f"{r}{_W2}, {_NUMBERED} select cluster, {list_of('generation, t.ord', ' ')} as members from tree t join num using (root) join amps a on a.ord = t.ord group by cluster",
+        "clusters_d2_nobreak": f"{r}{_walk(_D2, False)} select ord, root, generation, parent from tree",
+        "edges_d3": f"{r}{_D3} select a as src, b as dst, cast(diff as int) as diff from al join amps x on x.ord = a join amps y on y.ord = b where diff <= 3 and x.abundance >= y.abundance",
+        "stats_d3": _stats(_W3, "greatest(maxgen, 1)", "(select max(radius) from rad join tree using (ord) where tree.root = c.root)"),
+        "uclust_d1": _hits(_W1, ""),
+        "uclust_d2": _hits(_W2, ""),
+        "log_fastidious": f"""{r}{_F1}, va as (select a.ord, 6 * len + 4 + length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g')) as v, mass < 3 as light from amps a join tree t on t.ord = a.ord join cl using (root)),
+ row_ as (select (select sum(len) from amps) as nucleotides, (select count(*) from amps) as sequences, (select max(len) from amps) as longest, (select count(*) from fc) as clusters, (select max(size) from fc) as largest, (select max(mass) from fc) as heaviest, (select max(maxgen) from fc) as generations,
+ (select count(*) from cl) as clusters_before, (select max(size) from cl) as largest_before, (select max(mass) from cl) as heaviest_before, (select max(maxgen) from cl) as generations_before,
+ (select count(*) from cl where mass >= 3) as heavy_clusters, (select sum(size) from cl where mass >= 3) as heavy_amplicons, (select count(*) from cl where mass < 3) as light_clusters, (select sum(size) from cl where mass < 3) as light_amplicons, (select sum(sumlen) from cl where mass < 3) as light_nucleotides,
+ (select sum(v) from va where light) as light_variants, (select sum(v) from va where not light) as heavy_variants, (select count(*) from gc) as graft_candidates, (select count(*) from gr) as grafts)
+ select measure, cast(value as bigint) as value from (unpivot (select cast(columns(*) as bigint) from row_) on columns(*) into name measure value value)""",
+        "graph_document": f"""with {_OBS}, w as (select amplicon, cast(sum(coalesce(abundance, 0)) as bigint) as abundance from o where amplicon is not null group by 1 having sum(coalesce(abundance, 0)) > 2),
+ l as (select parent as amplicon from cluster_structure where cluster_no = 1 union select child from cluster_structure where cluster_no = 1)
+ select 0 as section, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="abundance" for="node" attr.name="abundance" attr.type="long"/><graph edgedefault="undirected">' as value union all select 3, '</graph></graphml>'
+ union all select 1, '<node id="' || amplicon || '"><data key="abundance">' || abundance || '</data></node>' from w where amplicon in (select amplicon from l)
+ union all select 2, '<edge source="' || parent || '" target="' || child || '"/>' from cluster_structure where cluster_no = 1 and parent in (select amplicon from w) and child in (select amplicon from w)""",
         "abundance_plain": _annotation_sql(False),
         "abundance_usearch": _annotation_sql(True),
         "db_summary": f"with {_AMPS} select cast(sum(len) as bigint) as nucleotides, count(*) as sequences, max(len) as longest from amps",
