@@ -1,6 +1,6 @@
 from collections import Counter
 
-from ampliq.llm.frequent import frequent_items
+from ampliq.llm.frequent import frequent_items, top_items
 from ampliq.llm.mixing import mix
 from ampliq.llm.subjects import clean, document_subjects, sentences
 from ampliq.llm.terms import term_counts
@@ -27,6 +27,29 @@ def test_terms(spark):
     assert term_counts(df.limit(0), ["a"]).count() == 0
 
 
+def test_runs_go_on_from_batch_to_batch(spark):
+    """Tiny Arrow batches: every run, record and text is cut into several."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(i % 23 if i % 11 else None, f"v{i % 3}" if i % 2 else f"w{i % 40}", None if i % 5 == 0 else "s" * (1 + i % 2)) for i in range(400)]
+        df = spark.createDataFrame(rows, "row_id bigint, a string, b string").repartition(3)
+        got = {(r["field"], r["item"]): (r["rows"], r["records"]) for r in term_counts(df, ["a", "b"]).collect()}
+        want = {}
+        for name, k in (("a", 1), ("b", 2)):
+            for v in {r[k] for r in rows if r[k] is not None}:
+                want[name, v] = (sum(r[k] == v for r in rows), len({r[0] for r in rows if r[k] == v and r[0] is not None}))
+        assert got == want
+        count = Counter(r[1] for r in rows)
+        best = sorted(((n, v) for v, n in count.items()), reverse=True)[:4]
+        assert [(r["n"], r["item"], r["place"]) for r in top_items({"a": (df, "a")}, 4).orderBy("place").collect()] == [(n, v, k + 1) for k, (n, v) in enumerate(best)]
+        assert {r["item"]: r["n"] for r in frequent_items({"a": (df, "a")}, 0.05).collect()} == {v: n for v, n in count.items() if n > 20}
+        texts = [(k, " ".join(f"word{(k * j) % 97}" for j in range(k % 60))) for k in range(60)]
+        one = encoding(VOCABULARY).encode_ordinary
+        assert {r["doc_id"]: r["ids"] for r in encode_texts(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()} == {k: one(x) for k, x in texts}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 TEXTS = [(1, "Hello  world's <|endoftext|>\n\n x"), (2, None), (3, ""), (4, "naïve ​日本語 12345"), (5, "a" * 3000 + " b" * 2000), (6, "same"), (6, "same"), (6, "other"), (None, "n")]
 
 
