@@ -12,15 +12,22 @@ and in both, the sketch sees (s - c) / (1 - c) instead of s. c is at most the sh
 record, so a record gets as many further bands, in blocks of BLOCK, as keep the miss over all windows at its bound for
 c = f. Where MOST blocks are too few (f over a third), it gets all of them, and bands over all its windows as well.
 
-Exact copies are collapsed first. A band's records are read in sorted order by its reducer, in constant memory. The
-records of bands with more than HOT of them are not paired by band: they meet under their rarest windows. Of a record's
-m windows, rarest first, the first m - ceil(s m) + 1 must hold one that a record of similarity s has among its own
-first ones, so this loses no pair. The same step over all records is the exact mode (exact=True), for measuring what
-the bands miss. A window that over HOT records have among their rarest stands for records alike nearly everywhere;
-they are paired by a join that adaptive execution can split.
+Chance meetings in a band grow with the square of the table: with 3 coordinates a record of 31 million met 17 others by
+chance. So a band gets one coordinate more from WIDER records on, and again from every STEP times as many, with as many
+bands as keep the miss where it was.
+
+Exact copies are collapsed first. Bands travel as arrays by bucket; a reducer holds one bucket at a time, and a band that
+is too long already passes through it. The records of bands with more than HOT of them are not paired by band: they meet
+under their rarest windows. Of a record's m windows, rarest first, the first m - ceil(s m) + 1 must hold one that a record
+of similarity s has among its own first ones, so this loses no pair. There are only 65,536 windows of four letters, so
+among many records none is rare: where a record would meet more than RARE others, these records get fresh bands instead,
+two coordinates wider, that miss AGAIN at most, and so on until WIDEST. Rarest windows over all records are the exact mode
+(exact=True), for measuring what the bands miss. A window that over HOT records have among their rarest stands for
+records alike nearly everywhere; they are paired by a join that adaptive execution can split.
 
 With 30 bands of 3 coordinates a pair of similarity s without common windows is missed with (1 - s**3)**30: 0.02 at
-0.5, 7e-4 at 0.6, 5e-6 at 0.7; a pair with common windows, at 0.6 and over, with 7e-4 at most. Nulls, empty texts and texts under 8 letters have no windows and no links.
+0.5, 7e-4 at 0.6, 5e-6 at 0.7; a pair with common windows, at 0.6 and over, with 7e-4 at most. Wider bands keep the figure
+at the similarity asked for. Nulls, empty texts and texts under 8 letters have no windows and no links.
 """
 
 from __future__ import annotations
@@ -41,6 +48,13 @@ BUCKETS = 1 << 18
 HOT = 512
 BLOCK = 8
 MOST = 9
+WIDER, STEP = 1 << 21, 32
+RARE = 512
+AGAIN = 1e-6
+WIDEST = 7
+MANY = 600
+CHUNK = 1000
+HELD = 1 << 20
 _TWO = np.full(27, 255, np.uint8)
 for _k, _c in enumerate(b"ACGT"):
     _TWO[_c - 64] = _k
@@ -177,8 +191,8 @@ def _window_counts(batches):
     """(bucket, records of this partition that have it)."""
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for at in range(0, batch.num_rows, 4000):
-            w, row = windows(*unpack(batch.column(0).slice(at, 4000)))
+        for at in range(0, batch.num_rows, CHUNK):
+            w, row = windows(*unpack(batch.column(0).slice(at, CHUNK)))
             total += np.bincount(_once(row * BUCKETS + bucket(w)) % BUCKETS, minlength=BUCKETS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
@@ -198,22 +212,41 @@ def common_windows(counts: np.ndarray, records: int, share: float) -> np.ndarray
     return counts > share * records
 
 
+def bands_for(miss: float, similarity: float, width: int) -> int:
+    """The fewest bands of so many coordinates that miss a pair of this similarity with miss at most."""
+    return int(np.ceil(np.log(miss) / np.log1p(-(min(similarity, 1 - 1e-9) ** width)) - 1e-9))
+
+
+def widened(records: int, similarity: float, bands: int, width: int) -> tuple[int, int]:
+    """(bands, width) for so many records, with the miss of the bands given."""
+    miss = (1 - min(similarity, 1 - 1e-9) ** width) ** bands
+    at = WIDER
+    while 0 < miss < 1 and records >= at and (more := bands_for(miss, similarity, width + 1)) <= MANY:
+        bands, width, at = more, width + 1, at * STEP
+    return bands, width
+
+
+def block_size(bands: int) -> int:
+    return max(BLOCK, -(-BLOCK * bands // 30))
+
+
 def further_blocks(share: np.ndarray, similarity: float, bands: int, width: int) -> np.ndarray:
     """Blocks of further bands for records with so large a share of common windows; MOST + 1: MOST are too few."""
     top = min(similarity, 1 - 1e-9)
     left = np.maximum((top - share) / np.maximum(1 - share, 1e-9), 1e-3)
     need = bands * np.log1p(-(top**width)) / np.log1p(-(left**width))
-    return np.ceil(np.clip((need - bands) / BLOCK - 1e-9, 0, MOST + 1)).astype(np.int64)
+    return np.ceil(np.clip((need - bands) / block_size(bands) - 1e-9, 0, MOST + 1)).astype(np.int64)
 
 
-def _bands(bitmap: np.ndarray, similarity: float, bands: int, width: int):
+def _bands(bitmap: np.ndarray, similarity: float, bands: int, width: int, level: int = 0):
     packed_map = np.packbits(bitmap)
+    block, first = block_size(bands), level * (MOST + 2)
 
     def run(batches):
         common = np.unpackbits(packed_map).astype(bool)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
                 ids = part.column(1).to_numpy()
                 codes, offsets = unpack(part.column(0))
                 w, row = windows(codes, offsets)
@@ -225,14 +258,14 @@ def _bands(bitmap: np.ndarray, similarity: float, bands: int, width: int):
                 every = np.bincount(row, minlength=n)
                 more = further_blocks(1 - kept / np.maximum(every, 1), similarity, bands, width)
                 sketches = [(kept > 0, rare, 0, bands), ((every > 0) & (more > MOST), ~rare | rare, 1, bands)]
-                sketches += [((kept > 0) & (more > k), rare, 2 + k, BLOCK) for k in range(MOST)]
+                sketches += [((kept > 0) & (more > k), rare, 2 + k, block) for k in range(MOST)]
                 for some, use, salt, m in sketches:
                     if not some.any():
                         continue
                     to = np.cumsum(some) - 1
                     use = use & some[row]
-                    s = sketch(w[use] ^ np.uint64(salt << 40), to[row[use]], int(some.sum()), m * width)
-                    keys = band_keys(s, m, width, salt)
+                    s = sketch(w[use] ^ np.uint64(first + salt << 40), to[row[use]], int(some.sum()), m * width)
+                    keys = band_keys(s, m, width, first + salt)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(ids[some], m))], names=["band", "id"])
 
     return run
@@ -245,8 +278,8 @@ def _rarest(counts: np.ndarray, num: int, den: int):
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
                 ids = part.column(1).to_numpy()
                 w, row = windows(*unpack(part.column(0)))
                 once = _once((row.astype(np.uint64) << np.uint64(40)) | w)
@@ -261,22 +294,26 @@ def _rarest(counts: np.ndarray, num: int, den: int):
     return run
 
 
-def _pairs(batches):
-    """Candidate pairs (a, b) of every band with 2 to HOT records; a longer band's records as (id, null, band)."""
+def _pairs(batches, most=HOT):
+    """Candidate pairs (a, b) of every band with 2 to most records; a longer band's records as (id, null, band)."""
 
     def emit(key, ids):
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(key)))
-        hot = np.repeat(size > HOT, size)
+        hot = np.repeat(size > most, size)
         a, b = [], []
         cold_key, cold = key[~hot], ids[~hot]
-        for d in range(1, int(size[size <= HOT].max(initial=1))):
+        for d in range(1, int(size[size <= most].max(initial=1))):
             same = np.flatnonzero(cold_key[d:] == cold_key[:-d])
             a.append(cold[same])
             b.append(cold[same + d])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         lo, hi = np.minimum(a, b), np.maximum(a, b)
-        pairs = np.unique(np.stack((lo, hi), 1)[lo < hi], axis=0)
+        lo, hi = lo[lo < hi], hi[lo < hi]
+        order = np.lexsort((hi, lo))
+        lo, hi = lo[order], hi[order]
+        new = np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))[: len(lo)]
+        pairs = np.stack((lo[new], hi[new]), 1)
         n, m = len(pairs), int(hot.sum())
         return pa.RecordBatch.from_arrays(
             [
@@ -302,7 +339,7 @@ def _pairs(batches):
             hot_key = None
         key, ids = np.concatenate((key, k)), np.concatenate((ids, i))
         cut = int(np.searchsorted(key, key[-1], "left"))
-        if len(key) - cut > HOT:
+        if len(key) - cut > most:
             hot_key, cut = key[-1], len(key)
         yield emit(key[:cut], ids[:cut])
         key, ids = key[cut:], ids[cut:]
@@ -312,13 +349,13 @@ def _pairs(batches):
 def _verify(num: int, den: int):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
                 n = part.num_rows
                 sets = []
                 for k in (2, 3):
                     w, row = windows(*unpack(part.column(k)))
-                    sets.append(np.unique((row.astype(np.uint64) << np.uint64(40)) | w))
+                    sets.append(_once((row.astype(np.uint64) << np.uint64(40)) | w))
                 both = np.concatenate(sets)
                 both.sort()
                 shared = both[1:][both[1:] == both[:-1]]
@@ -334,28 +371,136 @@ def _verify(num: int, den: int):
     return run
 
 
-def _met(keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b) of the keys with HOT records at most, records (band, id) of the others)."""
-    spread = keys.repartition(stage_partitions(keys.sparkSession), "band").sortWithinPartitions("band")
-    found = table(spread.mapInArrow(_pairs, "a bigint, b bigint, band bigint"), name)
+def _bucketed(run, buckets: int):
+    """What run yields as (band, id), as (bucket, 32-bit keys, ids) by bucket of the band; ids less their smallest where that saves half."""
+
+    def flush(held):
+        key, ids = (np.concatenate(x) for x in zip(*held))
+        key = key.view(np.uint64)
+        at = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16)
+        order = np.argsort(at, kind="stable")
+        at, low, ids = at[order], key[order].astype(np.uint32), ids[order]
+        start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        ends = np.append(start, len(at))
+        base = int(ids.min())
+        narrow = int(ids.max()) - base < 2**32
+        sent = (ids - base).astype(np.uint32) if narrow else ids
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(at[start].astype(np.int32)),
+                pa.array(np.full(len(start), base if narrow else 0)),
+                binary_column(low.view(np.uint8), ends * 4),
+                binary_column(sent.view(np.uint8), ends * sent.itemsize),
+            ],
+            names=["bucket", "base", "keys", "ids"],
+        )
+
+    def packed(batches):
+        held, rows = [], 0
+        for batch in run(batches):
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            rows += batch.num_rows
+            if rows >= HELD:
+                yield flush(held)
+                held, rows = [], 0
+        if rows:
+            yield flush(held)
+
+    return packed
+
+
+def _meet(most: int):
+    """_pairs of buckets that come one after another. Bands over most of a bucket over HELD leave it at once, so that a long band is never held."""
+
+    def long_bands(key):
+        key = np.sort(key)
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        return key[start[np.diff(np.append(start, len(key))) > most]]
+
+    def passed(key, ids):
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(key)], names=["a", "b", "band"])
+
+    def meet(held):
+        key, ids = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key)
+        key, ids = key[order], ids[order]
+        same = key[1:] == key[:-1]
+        shared = np.append(same, False) | np.append(False, same)
+        rows = pa.RecordBatch.from_arrays([pa.array(key[shared]), pa.array(ids[shared])], names=["band", "id"])
+        yield from _pairs((rows.slice(at, 10_000) for at in range(0, rows.num_rows, 10_000)), most)
+
+    def run(batches):
+        now, held, rows, limit, hot = None, [], 0, HELD, np.zeros(0, np.int64)
+        for batch in batches:
+            for at, base, keys, ids in zip(*(batch.column(k) for k in range(4))):
+                if at.as_py() != now:
+                    if rows:
+                        yield from meet(held)
+                    now, held, rows, limit, hot = at.as_py(), [], 0, HELD, np.zeros(0, np.int64)
+                key = np.frombuffer(keys.as_buffer(), np.uint32).astype(np.int64) | now << 32
+                i = np.frombuffer(ids.as_buffer(), np.uint32 if keys.as_buffer().size == ids.as_buffer().size else np.int64).astype(np.int64) + base.as_py()
+                if len(hot):
+                    out = np.isin(key, hot)
+                    yield passed(key[out], i[out])
+                    key, i = key[~out], i[~out]
+                held.append((key, i))
+                rows += len(key)
+                if rows > limit:
+                    key, i = (np.concatenate(x) for x in zip(*held))
+                    hot = np.concatenate((hot, more := long_bands(key)))
+                    out = np.isin(key, more)
+                    yield passed(key[out], i[out])
+                    held, rows = [(key[~out], i[~out])], int((~out).sum())
+                    limit = 2 * rows + HELD
+        if rows:
+            yield from meet(held)
+
+    return run
+
+
+def _met(strings: DataFrame, run, name: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) of the keys that run gives to HOT records at most, records (band, id) of the others)."""
+    parts = stage_partitions(strings.sparkSession)
+    keys = strings.mapInArrow(_bucketed(run, min(1 << 16, 16 * parts)), "bucket int, base bigint, keys binary, ids binary")
+    spread = keys.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = table(spread.mapInArrow(_meet(HOT), "a bigint, b bigint, band bigint"), name)
     return found.filter("b is not null").select("a", "b"), found.filter("b is null").select("band", F.col("a").alias("id"))
 
 
+def rarest_meetings(counts: np.ndarray, similarity: float) -> float:
+    """About how many pairs meet under their rarest windows, by the records that have each hashed window."""
+    c = np.sort(counts).astype(np.float64)
+    used = c[np.cumsum(c) <= (1 - similarity) * c.sum()]
+    return float((used * used).sum() / 2)
+
+
 def _by_rarest(strings: DataFrame, counts: np.ndarray, similarity: Fraction) -> DataFrame:
     """(a, b): every pair of similarity or more, and others."""
-    pairs, dense = _met(strings.mapInArrow(_rarest(counts, similarity.numerator, similarity.denominator), "band bigint, id bigint"), "rarest")
+    pairs, dense = _met(strings, _rarest(counts, similarity.numerator, similarity.denominator), "rarest")
     if dense.isEmpty():
         return pairs
     other = dense.select("band", F.col("id").alias("b"))
     return pairs.unionByName(dense.join(other.hint("merge"), "band").filter("id < b").select(F.col("id").alias("a"), "b"))
 
 
+def _by_bands(strings: DataFrame, counts: np.ndarray, common: np.ndarray, similarity: Fraction, bands: int, width: int, level: int = 0) -> DataFrame:
+    """(a, b): the pairs that share a band, and of the records of long bands those that meet again."""
+    pairs, hot = _met(strings, _bands(common, float(similarity), bands, width, level), "candidates")
+    if hot.isEmpty():
+        return pairs
+    some = table(strings.join(hot.select(F.col("id").alias("entry_id")).distinct(), "entry_id", "left_semi").select("packed", "entry_id"), "hot")
+    wider = bands_for(AGAIN, float(similarity), width + 2)
+    if width + 2 > WIDEST or wider > MANY or rarest_meetings(window_counts(some), float(similarity)) <= RARE * some.count():
+        return pairs.unionByName(_by_rarest(some, counts, similarity))
+    return pairs.unionByName(_by_bands(some, counts, common, similarity, wider, width + 2, level + 1))
+
+
 def similar_pairs(
     df: DataFrame, key: str = "entry_id", text: str = "sequence", similarity: float = 0.6, bands: int = 30, width: int = 3, common: float = 0.02, exact: bool = False
 ) -> DataFrame:
     """(entry_a, entry_b, similarity): every pair of distinct nucleotide strings, each by its smallest id, that is at least so similar.
 
-    exact: no sketches and no missed pairs, at several times the cost. common: the share of the records from which on a
+    bands, width: of tables under WIDER records; larger ones get wider bands with the same miss. exact: no sketches and no missed pairs, at several times the cost. common: the share of the records from which on a
     window is left out of the sketches; 1 leaves none out.
     """
     least = Fraction(str(similarity))
@@ -364,11 +509,8 @@ def similar_pairs(
     if exact:
         pairs = _by_rarest(strings, counts, least)
     else:
-        banded = strings.mapInArrow(_bands(common_windows(counts, strings.count(), common), similarity, bands, width), "band bigint, id bigint")
-        pairs, hot = _met(banded, "candidates")
-        if not hot.isEmpty():
-            some = strings.join(hot.select(F.col("id").alias("entry_id")).distinct(), "entry_id", "left_semi").select("packed", "entry_id")
-            pairs = pairs.unionByName(_by_rarest(some, counts, least))
+        records = strings.count()
+        pairs = _by_bands(strings, counts, common_windows(counts, records, common), least, *widened(records, similarity, bands, width))
     pairs = pairs.distinct()
     left = strings.select(F.col("entry_id").alias("a"), F.col("packed").alias("pa"))
     right = strings.select(F.col("entry_id").alias("b"), F.col("packed").alias("pb"))

@@ -147,3 +147,76 @@ def test_pack_round_trip():
     offsets = np.cumsum([0] + [len(t) for t in texts])
     got, ends = unpack(pack(codes, offsets))
     assert (got == codes).all() and (ends == offsets).all()
+
+
+def two_letter_rows(rng, n):
+    rows = [(2 * i, "".join(rng.choice("AC") for _ in range(60)), 0) for i in range(n)]
+    return rows + [(2 * i + 1, s[: i % 50] + s[i % 50 + 1 :], 0) for (_, s, _), i in zip(rows, range(n // 10))]
+
+
+def test_chance_candidates_of_a_larger_table_stay_few(spark, monkeypatch):
+    def everything(num, den):
+        def run(batches):
+            for b in batches:
+                yield b.select([0, 1]).append_column("similarity", b.column(0).cast("double")).rename_columns(["entry_a", "entry_b", "similarity"])
+
+        return run
+
+    rows = two_letter_rows(random.Random(7), 1400)
+    want = brute(rows, 0.6)
+    monkeypatch.setattr(similar, "WIDER", 500, raising=False)
+    monkeypatch.setattr(similar, "STEP", 2, raising=False)
+    assert {(r["entry_a"], r["entry_b"]) for r in similar_pairs(table(spark, rows), common=1).collect()} == want and len(want) > 130
+    monkeypatch.setattr(similar, "_verify", everything)
+    assert similar_pairs(table(spark, rows), common=1).count() < 15_000
+
+
+def test_wider_bands_keep_the_miss():
+    assert similar.widened(310_000, 0.6, 30, 3) == (30, 3)
+    for n, width in ((31_000_000, 4), (155_000_000, 5)):
+        b, k = similar.widened(n, 0.6, 30, 3)
+        assert k == width and (1 - 0.6**k) ** b <= (1 - 0.6**3) ** 30 < (1 - 0.6**k) ** (b - 1)
+    assert similar.widened(10**9, 0.05, 30, 3)[1] == 3 and similar.widened(10**9, 1.0, 30, 3)[0] <= 31
+
+
+@pytest.mark.parametrize("rare", [512, 0])
+def test_records_of_long_bands_meet_again(spark, monkeypatch, rare):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("ACGT") for _ in range(120)) for _ in range(6)]
+    rows = []
+    for i in range(150):
+        s = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            s[rng.randrange(len(s))] = rng.choice("ACGT")
+        rows.append((i, "".join(s), 0))
+    monkeypatch.setattr(similar, "HOT", 5)
+    monkeypatch.setattr(similar, "RARE", rare)
+    assert {(r["entry_a"], r["entry_b"]) for r in similar_pairs(table(spark, rows)).collect()} == brute(rows, 0.6)
+
+
+def test_rarest_windows_of_many_records_are_known_to_meet_too_often():
+    import numpy as np
+
+    n = 300_000
+    assert similar.rarest_meetings(np.full(65536, n * 133 // 65536), 0.6) > similar.RARE * n
+    assert similar.rarest_meetings(np.full(65536, 1000 * 133 // 65536), 0.6) < similar.RARE * 1000
+
+
+@pytest.mark.parametrize("far", [1, 2**40])
+def test_buckets_give_the_pairs_of_all_keys(monkeypatch, far):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(similar, "HELD", 300)
+    rng = np.random.default_rng(4)
+    values = rng.integers(-(2**63), 2**63 - 1, 400)
+    key = np.concatenate((rng.choice(values, 3000), np.full(60, values[0]), np.full(60, values[1])))
+    ids = rng.permutation(len(key)) * far - 5
+    order = rng.permutation(len(key))
+    key, ids = key[order], ids[order]
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[a : a + 70]), pa.array(ids[a : a + 70])], names=["band", "id"]) for a in range(0, len(key), 70)]
+    sent = pa.Table.from_batches(list(similar._bucketed(lambda b: b, 5)(iter(batches)))).sort_by("bucket").to_batches(max_chunksize=3)
+    out = pa.Table.from_batches(list(similar._meet(20)(iter(sent)))).to_pylist()
+    group = {k: ids[key == k].tolist() for k in np.unique(key).tolist()}
+    assert sorted(r["a"] for r in out if r["b"] is None) == sorted(i for g in group.values() if len(g) > 20 for i in g)
+    assert {(r["a"], r["b"]) for r in out if r["b"] is not None} == {(i, j) for g in group.values() if len(g) <= 20 for i in g for j in g if i < j}
