@@ -29,3 +29,27 @@ def test_graph(spark):
     nodes, edges = nodes_and_edges(members, structure, 1, 1)
     assert {(r["amplicon"], r["size"], r["label"]) for r in nodes.collect()} == {("a", 100.0, "20"), ("b", 44.0, "")}
     assert edges.collect() == [("a", "b")]
+
+
+def test_contingency_is_ordered_before_it_is_wide(spark, monkeypatch):
+    from ampliq.operators import contingency as module
+
+    seen, order = [], module.dense_order
+    monkeypatch.setattr(module, "dense_order", lambda df, *by, **k: seen.append(len(df.columns)) or order(df, *by, **k))
+    monkeypatch.setattr(module, "CELLS", 500, raising=False)
+    rows = [(f"a{i}", f"s{(i * 7 + j) % 60:02d}", i * j) for i in range(50) for j in range(i % 9)] + [("none", "s00", None), ("all", "s1.x", 5), ("all", "s59", 6), ("all", "s59", 7), (None, "s00", 8), ("all", None, 9)]
+    got = contingency(spark.createDataFrame(rows, "amplicon string, sample string, abundance bigint"))
+    assert max(seen) < 5  # as many columns as samples were sorted and shuffled before
+    want: dict = {}
+    for a, s, n in rows:
+        if a and s:
+            want.setdefault(a, {})[s] = want.get(a, {}).get(s, 0) + (n or 0)
+    names = sorted({s for a, s, _ in rows if a and s})
+    assert got.columns == ["ord", "amplicon", *names, "total"]
+    assert [tuple(r) for r in got.orderBy("ord").collect()] == [
+        (k, a, *[cells.get(s, 0) for s in names], sum(cells.values())) for k, (a, cells) in enumerate(sorted(want.items(), key=lambda x: (sum(x[1].values()), x[0]), reverse=True))
+    ]
+    assert contingency(spark.createDataFrame([], "amplicon string, sample string, abundance bigint")).collect() == []
+    some = contingency(spark.createDataFrame(rows, "amplicon string, sample string, abundance bigint"), samples=["s59", "other"])
+    assert some.columns == ["ord", "amplicon", "s59", "other", "total"] and some.first()["total"] == max(sum(c.values()) for c in want.values())
+    assert some.filter("amplicon = 'all'").select("s59", "other", "total").first() == (13, 0, 18)
