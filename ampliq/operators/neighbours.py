@@ -36,6 +36,17 @@ def microvariants(df: DataFrame, key: str = "ord", sequence: str = "sequence") -
     return swaps.unionByName(drops).unionByName(adds).withColumnRenamed("key", key)
 
 
+def variant_counts(sequence: Column) -> dict[str, Column]:
+    """How many rows of each kind `microvariants` has for a sequence, and in all; none of them is made.
+
+    Three other letters a place, a deletion a run of one letter, and four letters before the sequence and three after
+    each letter. All differ: inside a kind each is made once, and the kinds differ in length.
+    """
+    n = F.length(sequence).cast("bigint")
+    runs = F.length(F.regexp_replace(sequence, r"(.)\1*", "x")).cast("bigint")
+    return {"substitution": 3 * n, "deletion": runs, "insertion": 3 * n + 4, "variants": 6 * n + 4 + runs}
+
+
 def parity_sign(sequence: Column, q: int = 5) -> Column:
     """64 bits: the parities of the q-letter words, folded by hash. One edit changes 2 q words, hence 2 q bits, at most."""
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(F.substring(sequence, i, F.lit(q))), F.lit(64)).cast("int"))

@@ -61,3 +61,31 @@ def test_a_conserved_start_makes_no_more_than_a_few_candidates_a_row(spark, d):
 def test_no_rows(spark):
     none = spark.createDataFrame([], "ord bigint, sequence string")
     assert pairs_of(none, 2).count() == 0 and pairs_between(none, none, 2).count() == 0
+
+
+def test_variant_counts_are_those_of_the_variants_made(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    sequences = sorted({"A", "AA", "AC", "AAAA", "ACAC", "AACCA", "T" * 40, *("".join(rng.choice("ACGT"[: rng.randint(1, 4)]) for _ in range(rng.randint(1, 30))) for _ in range(60))})
+    df = spark.createDataFrame(list(enumerate(sequences)), "ord bigint, sequence string")
+    counts = neighbours.variant_counts(F.col("sequence"))
+    got = {r["ord"]: tuple(r)[1:] for r in df.select("ord", *[n.alias(k) for k, n in counts.items()]).collect()}
+    made: dict = {k: {"substitution": [], "deletion": [], "insertion": []} for k in got}
+    for r in neighbours.microvariants(df).collect():
+        made[r["ord"]][r["kind"]].append(r["variant"])
+    for k, s in enumerate(sequences):
+        near = {s[:i] + b + s[i + 1 :] for i in range(len(s)) for b in "ACGT"} | {s[:i] + s[i + 1 :] for i in range(len(s))} | {s[:i] + b + s[i:] for i in range(len(s) + 1) for b in "ACGT"}
+        kinds = [made[k][x] for x in ("substitution", "deletion", "insertion")]
+        assert {v for x in kinds for v in x} == near - {s}
+        assert got[k] == (*map(len, kinds), len(near - {s}))
+
+
+def test_microvariant_counts_shuffle_no_variants(spark, tmp_path):
+    from ampliq import queries
+
+    rows = [(1, "acgu-u", 2), (2, "AAAA", None), (3, "ACGTT", 1), (4, None, 1), (5, "", 1)]
+    spark.createDataFrame(rows, "entry_id bigint, sequence string, abundance bigint").write.parquet(f"{tmp_path}/db.parquet")
+    got = queries.microvariant_counts(spark, str(tmp_path))
+    assert sorted(tuple(r)[1:] for r in got.collect()) == [(12, 1, 16, 29), (15, 4, 19, 38)]
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
