@@ -68,6 +68,17 @@ def contingency(obs: DataFrame, samples: list[str] | None = None, limit: int = 1
     return rows.select("ord", "amplicon", "total", wide.alias("row")).select("ord", "amplicon", *[F.coalesce(F.get("row", F.lit(i)), zero).alias(s) for i, s in enumerate(samples)], "total")
 
 
+def contingency_lines(obs: DataFrame, samples: list[str] | None = None, limit: int = 10_000) -> tuple[DataFrame, list[str]]:
+    """(ord, value) of the contingency table as tab-separated lines, in order, and the names of their fields.
+
+    A line is put together from its few counts and runs of zeros; the wide table is not made. Names that hold a tab stand
+    between zero characters, which is how Spark reads and writes CSV without a quote.
+    """
+    rows, samples = sparse_contingency(obs, samples, limit)
+    cells = F.array_join(_spread(len(samples), lambda n: F.repeat(F.lit("\t0"), n), lambda a: F.concat(F.lit("\t"), a.cast("string"))), "")
+    return rows.select("ord", F.concat(F.when(F.col("amplicon").contains("\t"), F.concat(F.lit("\0"), "amplicon", F.lit("\0"))).otherwise(F.col("amplicon")), cells, F.lit("\t"), F.col("total").cast("string")).alias("value")), ["amplicon", *samples, "total"]
+
+
 def repeated_samples(files: DataFrame) -> DataFrame:
     """(sample, files) of samples that more than one file has. files: one row a file."""
     return files.filter("sample is not null").groupBy("sample").agg(F.count(F.lit(1)).alias("files")).filter("files > 1")

@@ -93,6 +93,12 @@ def write_file(run: Run, output: str, path: str, **options) -> None:
             to.close()
 
 
-def write_contingency(table: DataFrame, path: str) -> None:
-    """A contingency table as tab-separated text with a head, in its order."""
-    table.orderBy("ord").drop("ord").write.mode("overwrite").csv(path, sep="\t", header=True, quote="")
+def write_contingency(lines: DataFrame, names: list[str], path: str, compression: str = "none") -> None:
+    """contingency_lines as text files whose names follow their order, each below a head of the names."""
+    head = "\t".join(f"\0{n}\0" if "\t" in n else n for n in names)
+    if lines.isEmpty():
+        lines = lines.sparkSession.createDataFrame([(head,)], "value string")
+    else:
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # the first row of its file
+        lines = lines.select(F.concat(F.when(first, head + "\n").otherwise(""), "value").alias("value"))
+    lines.write.mode("overwrite").option("compression", compression).option("maxRecordsPerFile", 0).text(path)

@@ -53,3 +53,31 @@ def test_contingency_is_ordered_before_it_is_wide(spark, monkeypatch):
     some = contingency(spark.createDataFrame(rows, "amplicon string, sample string, abundance bigint"), samples=["s59", "other"])
     assert some.columns == ["ord", "amplicon", "s59", "other", "total"] and some.first()["total"] == max(sum(c.values()) for c in want.values())
     assert some.filter("amplicon = 'all'").select("s59", "other", "total").first() == (13, 0, 18)
+
+
+def test_contingency_file_is_small_and_keeps_names(spark, tmp_path, monkeypatch):
+    rows = [(1000 * i + j, f"a{i}", f"s{(i * 7 + j) % 300:03d}", i + j) for i in range(300) for j in range(i % 4)] + [(-1, " spaced ", "S26 1", 5), (-2, " spaced ", "S26 1", None), (-3, "q\"\\u", "s24.25", -2), (-4, None, "s000", 1)]
+    spark.createDataFrame(rows, "row_id bigint, amplicon string, sample string, abundance bigint").write.parquet(f"{tmp_path}/amplicon_contingency_table.parquet")
+    monkeypatch.setattr(queries, "new_path", lambda spark, name: f"{tmp_path}/{name}")
+    got = queries.contingency_file(spark, str(tmp_path))
+    want = queries.contingency_pivot(spark, str(tmp_path)).orderBy("ord").drop("ord")
+    assert got.columns == want.columns and {t for _, t in got.dtypes} == {"string"}
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(map(str, r)) for r in want.collect())
+    files = sorted((tmp_path / "contingency").glob("part-*"))
+    assert sum(f.stat().st_size for f in files) < 60_000  # 135,000 as plain text
+    lines = [r["value"] for f in files for r in spark.read.text(str(f)).collect()]
+    head = "\t".join(want.columns)
+    assert lines.count(head) == len(files) and [x for x in lines if x != head] == ["\t".join(map(str, r)) for r in want.collect()]
+
+
+def test_contingency_file_with_tabs_in_names(spark, tmp_path):
+    rows = [(1, "a\tb", "s\t1", 5), (2, "c", "s2", 3)]
+    spark.createDataFrame(rows, "row_id bigint, amplicon string, sample string, abundance bigint").write.parquet(f"{tmp_path}/amplicon_contingency_table.parquet")
+    got = queries.contingency_file(spark, str(tmp_path))
+    assert got.columns == ["amplicon", "s\t1", "s2", "total"] and sorted(map(tuple, got.collect())) == [("a\tb", "5", "0", "5"), ("c", "0", "3", "3")]
+
+
+def test_contingency_file_without_rows_has_a_head(spark, tmp_path):
+    spark.createDataFrame([(1, None, "s", 1)], "row_id bigint, amplicon string, sample string, abundance bigint").write.parquet(f"{tmp_path}/amplicon_contingency_table.parquet")
+    got = queries.contingency_file(spark, str(tmp_path))
+    assert got.columns == ["amplicon", "total"] and got.collect() == []
